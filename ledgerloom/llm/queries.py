@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import sharding
+from ledgerloom.llm import sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bounded_ring": sharding.op3_sharding,
+        "op10_simhash_pivots": simhash.op10_simhash,
     }
 
 
