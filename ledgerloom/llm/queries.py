@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import sharding, simhash
+from ledgerloom.llm import packing, sharding, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bounded_ring": sharding.op3_sharding,
+        "op7_token_orc": token_files.op7_token_files,
+        "op8_pack_shortest_first": packing.op8_packing,
         "op10_simhash_pivots": simhash.op10_simhash,
     }
 
