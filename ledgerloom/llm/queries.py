@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import packing, sharding, simhash, token_files
+from ledgerloom.llm import decontaminate, packing, sharding, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate_fm": decontaminate.op2_decontaminate,
         "op3_bounded_ring": sharding.op3_sharding,
         "op7_token_orc": token_files.op7_token_files,
         "op8_pack_shortest_first": packing.op8_packing,
