@@ -2,7 +2,9 @@
 
 A text is cut where both tokenizers always start a new word (before a space that
 is followed by something else than white space), so the ids of the pieces, joined,
-are those of the whole text. Pieces recur; a bounded cache keeps their ids.
+are those of the whole text. Pieces recur; a bounded cache in each Python worker
+keeps their ids. A new piece of plain Latin letters is one word to both tokenizers
+and goes straight to the library's model; all others go through the whole of it.
 """
 
 from __future__ import annotations
@@ -10,12 +12,26 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
-CACHE = 200_000  # pieces; the cache starts anew beyond it
+CACHE = 250_000  # pieces in each of the cache's two generations
 SLICE = 1 << 21  # characters encoded at a time
+BATCH = 4096  # other new pieces encoded in one call
 _LOOSE = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
+#: Letters that composing leaves as they are and that have a lower case of their own.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-į]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level tokenizers write a byte as its Latin-1 character if that can be seen, else as one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_CHARACTERS = _byte_characters()
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,8 +43,8 @@ def tokenizer_path(name: str) -> str:
 class PieceEncoder:
     """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit integers.
 
-    ``drops_space``: the tokenizer drops white space (then a piece is a word and
-    its leading space is no matter); else the space belongs to the piece.
+    ``drops_space``: the tokenizer drops white space and marks the ends of words;
+    else a piece has its leading space, which its first id shows.
     """
 
     def __init__(self, path: str, drops_space: bool = False):
@@ -39,38 +55,74 @@ class PieceEncoder:
         self.drops_space = drops_space
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = self.first if drops_space else {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict[str, bytes], pieces: Iterable[str], lead: str) -> None:
-        new = [p for p in set(pieces) if p not in cache]
-        cache.update(zip(new, self._ids([lead + p for p in new]), strict=True))
+    def _encode_new(self, pieces: list[str]) -> None:
+        tokenize, plain, other = self.tok.model.tokenize, _PLAIN.fullmatch, []
+        lead = "" if self.drops_space else "Ġ"
+        for p in pieces:
+            if plain(p):
+                word = p.lower() if self.drops_space else p
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_CHARACTERS)
+                self.young[p] = array("I", [t.id for t in tokenize(lead + word)]).tobytes()
+            else:
+                other.append(p)
+        lead = "" if self.drops_space else " "
+        for at in range(0, len(other), BATCH):
+            part = other[at : at + BATCH]
+            self.young.update(zip(part, self._ids([lead + p for p in part]), strict=True))
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new, ended = set(), []
+        for p in pieces.difference(young):
+            if p in old:
+                young[p] = old[p]
+                continue
+            base = p.rstrip(".,")
+            # letters and the punctuation behind them are words of their own to both tokenizers
+            if 0 < len(base) < len(p) and _PLAIN.fullmatch(base[-1]):
+                ended.append((p, base))
+                if base not in young:
+                    if base in old:
+                        young[base] = old[base]
+                    else:
+                        new.add(base)
+            else:
+                new.add(p)
+        self._encode_new(list(new))
+        tails = {p[len(base) :] for p, base in ended}
+        tail_ids = dict(zip(tails, self._ids(list(tails)), strict=True))
+        for p, base in ended:
+            young[p] = young[base] + tail_ids[p[len(base) :]]
 
     def _slice(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
+        heads, cut = [], []
         for t in texts:
             if self.special and self.special.search(t):
-                cut.append(None)
+                heads.append(t)
+                cut.append([])
             elif self.drops_space:
+                heads.append("")
                 cut.append([p for p in t.replace("\n", " ").split(" ") if p])
             elif _LOOSE.search(t):
                 head, *rest = _CUT.split(t)
-                cut.append([head, *(p[1:] for p in rest)])
+                heads.append(head)
+                cut.append([p[1:] for p in rest])
             else:
-                cut.append(t.split(" "))
-        if len(self.first) + len(self.later) > CACHE:
-            self.first.clear()
-            self.later.clear()
-        self._learn(self.first, (c[0] for c in cut if c), "")
-        self._learn(self.later, (p for c in cut if c for p in c[1:]), "" if self.drops_space else " ")
-        first, later = self.first, self.later
-        return [
-            self._ids([t])[0] if c is None else b"".join([first[c[0]], *map(later.__getitem__, c[1:])]) if c else b""
-            for t, c in zip(texts, cut, strict=True)
-        ]
+                head, *rest = t.split(" ")
+                heads.append(head)
+                cut.append(rest)
+        self._learn(set().union(*cut))
+        known = self.young.__getitem__
+        return [head + b"".join(map(known, c)) for head, c in zip(self._ids(heads), cut, strict=True)]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn; a null text has none."""
@@ -83,3 +135,9 @@ class PieceEncoder:
                 yield from self._slice(part)
                 part, held = [], 0
         yield from self._slice(part)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, drops_space: bool = False) -> PieceEncoder:
+    """The worker's encoder; tasks that follow each other in a worker share its cache."""
+    return PieceEncoder(path, drops_space)

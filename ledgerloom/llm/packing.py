@@ -89,7 +89,7 @@ def cut_documents(
     """(id, start, length, ids_crc32, doc_tokens): each text's ids with the end id, in full pieces and a rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding.PieceEncoder(tokenizer, drops_space)
+        coder = encoding.encoder(tokenizer, drops_space)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             which, start, length, crc, total = [], [], [], [], []

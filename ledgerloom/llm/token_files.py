@@ -42,7 +42,7 @@ def write_tokens(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding.PieceEncoder(tokenizer, drops_space)
+        coder = encoding.encoder(tokenizer, drops_space)
         end = np.array([end_id], dtype="<u4").tobytes()
         before = 0
         for batch in batches:
