@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, packing, quality, sharding, simhash, token_files
+from ledgerloom.llm import decontaminate, packing, quality, sharding, simhash, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_risk": quality.op6_quality,
         "op7_token_orc": token_files.op7_token_files,
         "op8_pack_shortest_first": packing.op8_packing,
+        "op9_suffix_deep_shallow": suffix_dedup.op9_suffix_dedup,
         "op10_simhash_pivots": simhash.op10_simhash,
     }
 

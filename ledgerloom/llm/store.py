@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete a table made by keep() that no later plan reads."""
     path = getattr(df, "_kept_path", None)
