@@ -12,12 +12,10 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 CACHE = 250_000  # pieces in each of the cache's two generations
-SLICE = 1 << 21  # characters encoded at a time
-BATCH = 4096  # other new pieces encoded in one call
 _LOOSE = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
 #: Letters that composing leaves as they are and that have a lower case of their own.
@@ -40,11 +38,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Pieces(dict):
+    """Ids by piece, encoded when first asked for; what two generations of CACHE pieces don't hold is encoded anew."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        self[piece] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
 class PieceEncoder:
     """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit integers.
 
-    ``drops_space``: the tokenizer drops white space and marks the ends of words;
-    else a piece has its leading space, which its first id shows.
+    ``drops_space``: the tokenizer lower-cases and drops white space; else a piece has its leading space.
     """
 
     def __init__(self, path: str, drops_space: bool = False):
@@ -55,86 +73,43 @@ class PieceEncoder:
         self.drops_space = drops_space
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_new(self, pieces: list[str]) -> None:
-        tokenize, plain, other = self.tok.model.tokenize, _PLAIN.fullmatch, []
-        lead = "" if self.drops_space else "Ġ"
-        for p in pieces:
-            if plain(p):
-                word = p.lower() if self.drops_space else p
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(_CHARACTERS)
-                self.young[p] = array("I", [t.id for t in tokenize(lead + word)]).tobytes()
-            else:
-                other.append(p)
-        lead = "" if self.drops_space else " "
-        for at in range(0, len(other), BATCH):
-            part = other[at : at + BATCH]
-            self.young.update(zip(part, self._ids([lead + p for p in part]), strict=True))
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new, ended = set(), []
-        for p in pieces.difference(young):
-            if p in old:
-                young[p] = old[p]
-                continue
-            base = p.rstrip(".,")
-            # letters and the punctuation behind them are words of their own to both tokenizers
-            if 0 < len(base) < len(p) and _PLAIN.fullmatch(base[-1]):
-                ended.append((p, base))
-                if base not in young:
-                    if base in old:
-                        young[base] = old[base]
-                    else:
-                        new.add(base)
-            else:
-                new.add(p)
-        self._encode_new(list(new))
-        tails = {p[len(base) :] for p, base in ended}
-        tail_ids = dict(zip(tails, self._ids(list(tails)), strict=True))
-        for p, base in ended:
-            young[p] = young[base] + tail_ids[p[len(base) :]]
-
-    def _slice(self, texts: list[str]) -> list[bytes]:
-        heads, cut = [], []
-        for t in texts:
-            if self.special and self.special.search(t):
-                heads.append(t)
-                cut.append([])
-            elif self.drops_space:
-                heads.append("")
-                cut.append([p for p in t.replace("\n", " ").split(" ") if p])
-            elif _LOOSE.search(t):
-                head, *rest = _CUT.split(t)
-                heads.append(head)
-                cut.append([p[1:] for p in rest])
-            else:
-                head, *rest = t.split(" ")
-                heads.append(head)
-                cut.append(rest)
-        self._learn(set().union(*cut))
-        known = self.young.__getitem__
-        return [head + b"".join(map(known, c)) for head, c in zip(self._ids(heads), cut, strict=True)]
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        self.whole = Pieces(self._ids)  # beginnings of texts, and punctuation behind words
+        self.words = Pieces(self._word_ids)  # with the space before them
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word_ids(self, piece: str) -> bytes:
+        if _PLAIN.fullmatch(piece):
+            word = piece.lower() if self.drops_space else "Ġ" + piece
+            if not piece.isascii():
+                word = word[: not self.drops_space] + word[not self.drops_space :].encode().decode("latin-1").translate(_CHARACTERS)
+            return array("I", [t.id for t in self.tok.model.tokenize(word)]).tobytes()
+        base = piece.rstrip(".,")
+        # letters and the punctuation behind them are words of their own to both tokenizers
+        if 0 < len(base) < len(piece) and _PLAIN.fullmatch(base[-1]):
+            return self.words[base] + self.whole[piece[len(base) :]]
+        return self._ids(piece if self.drops_space else " " + piece)
+
+    def _text_ids(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            return self._ids(text)
+        if self.drops_space:
+            if text.isascii():
+                text = text.lower()
+            return b"".join(map(self.words.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
+        if _LOOSE.search(text):
+            head, *rest = (p if not i else p[1:] for i, p in enumerate(_CUT.split(text)))
+        else:
+            head, *rest = text.split(" ")
+        return self.whole[head] + b"".join(map(self.words.__getitem__, rest))
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn; a null text has none."""
-        part: list[str] = []
-        held = 0
         for t in texts:
-            part.append(t or "")
-            held += len(part[-1])
-            if held >= SLICE:
-                yield from self._slice(part)
-                part, held = [], 0
-        yield from self._slice(part)
+            yield self._text_ids(t or "")
+            self.whole.turn()
+            self.words.turn()
 
 
 @lru_cache(maxsize=2)

@@ -34,5 +34,4 @@ def test_any_text(name, texts):
 
 def test_small_cache(monkeypatch):
     monkeypatch.setattr(encoding, "CACHE", 2)
-    monkeypatch.setattr(encoding, "SLICE", 8)
     check("byte_bpe_50k.json", ["one two three", "two three four", "", "five  six"] * 3)
