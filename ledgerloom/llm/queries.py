@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, packing, pii, quality, sharding, simhash, suffix_dedup, token_files
+from ledgerloom.llm import decontaminate, packing, pii, preference, quality, sharding, simhash, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_preference_prefix": preference.op1_preference,
         "op2_decontaminate_fm": decontaminate.op2_decontaminate,
         "op3_bounded_ring": sharding.op3_sharding,
         "op4_pii_bootstrap": pii.op4_pii,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_preference_prefix": preference.ORACLE}
