@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, packing, pii, preference, quality, sharding, simhash, suffix_dedup, token_files
+from ledgerloom.llm import decontaminate, line_dedup, packing, pii, preference, quality, sharding, simhash, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate_fm": decontaminate.op2_decontaminate,
         "op3_bounded_ring": sharding.op3_sharding,
         "op4_pii_bootstrap": pii.op4_pii,
+        "op5_fuzzy_lines": line_dedup.op5_line_dedup,
         "op6_quality_risk": quality.op6_quality,
         "op7_token_orc": token_files.op7_token_files,
         "op8_pack_shortest_first": packing.op8_packing,
