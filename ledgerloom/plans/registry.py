@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.plans import fact_queries
+
 FLAGSHIP = "j1_facts_current"
-MODULES = ()
+MODULES = (fact_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
