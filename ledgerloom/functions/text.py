@@ -159,7 +159,7 @@ def comparable(col: Column) -> Column:
 
 def age_tier(at: Column, as_of: Column) -> Column:
     """active, recent or archive by exact age; active without a time."""
-    age = F.unix_micros(as_of) - F.unix_micros(at)
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))
     day = 86_400_000_000
     return first_label([(age.isNull() | (age <= ACTIVE_DAYS * day), "active"), (age <= RECENT_DAYS * day, "recent")], "archive")
 

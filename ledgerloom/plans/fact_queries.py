@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import facts, relate
-from ledgerloom.plans.tables import table
+from ledgerloom.plans.tables import at, table
 
 #: Event types stand for sources: (rank, confidence in hundredths from the value).
 TYPES = {"purchase": 5, "login": 4, "click": 3, "view": 2, "error": 1}
@@ -68,8 +68,8 @@ from opened window w as (partition by user_id order by ts, event_id)"""
 
 def fact_history_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts that were valid at a point in time."""
-    at = F.lit("2024-01-15").cast("timestamp")
-    return fact_versions(spark, sf_dir).where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))).select("user_id", "value", "event_id")
+    when = at("2024-01-15")
+    return fact_versions(spark, sf_dir).where((F.col("valid_from") <= when) & (F.col("valid_to").isNull() | (F.col("valid_to") > when))).select("user_id", "value", "event_id")
 
 
 FACT_HISTORY_AT = f"""select user_id, value, event_id from ({FACT_VERSIONS})
@@ -134,7 +134,7 @@ select section, field, source, document_type, "constraint", verdict, count(*) as
 def insert_new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the second half of the log, what has a (user, type, k) that the first half lacks; the earliest of each."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
-    half = F.lit("2024-01-15").cast("timestamp")
+    half = at("2024-01-15")
     return relate.insert_new(e.where(F.col("ts") < half), e.where(F.col("ts") >= half), ["user_id", "event_type", "k"], [F.asc("ts"), F.asc("event_id")]).select(
         "event_id", "user_id", "event_type", "k"
     )
