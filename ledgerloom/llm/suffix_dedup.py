@@ -32,7 +32,7 @@ from ledgerloom.llm import store, suffix_sort
 
 LENGTH = 200
 GRAM = 32
-HOT = 8192  # occurrences of a gram that meet in one task
+HOT = 65536  # occurrences of a gram that meet in one task, in about 300 bytes each
 MEET = 16384  # contexts sorted at once in a task
 SLICE = 1 << 22  # bytes looked through at once
 
@@ -169,13 +169,24 @@ def _meet(length: int):
     """Arrow function over contexts sorted by gram: whole classes together, up to about MEET contexts at once."""
 
     def flush(rows: pa.Table) -> pa.RecordBatch:
-        first = rows["first"].to_numpy()
-        which, start, number = repeated_windows(
-            rows["context"].to_pylist(), rows["count"].to_numpy().astype(np.int64), rows["delta"].to_numpy().astype(np.int64), length
-        )
-        digest = pa.concat_arrays(rows["digest"].chunks).take(pa.array(which))
+        contexts, first = rows["context"].to_pylist(), rows["first"].to_numpy()
+        count, delta = rows["count"].to_numpy().astype(np.int64), rows["delta"].to_numpy().astype(np.int64)
+        # equal contexts are sorted once; one that occurs again repeats with all its windows
+        number: dict[tuple, int] = {}
+        kind = np.fromiter((number.setdefault(x, len(number)) for x in zip(contexts, count.tolist(), delta.tolist(), strict=True)), np.int64, len(contexts))
+        members = np.argsort(kind, kind="stable")
+        times = np.bincount(kind, minlength=len(number))
+        begin = np.cumsum(times) - times
+        one = members[begin]
+        which, start, n = repeated_windows([contexts[i] for i in one.tolist()], count[one], delta[one], length)
+        lone, again = times[which] == 1, np.flatnonzero(times > 1)
+        which, start, n = (np.concatenate([x[lone], y]) for x, y in ((which, again), (start, np.zeros(len(again), np.int64)), (n, count[one][again])))
+        each = times[which]
+        total = int(each.sum())
+        at = members[np.repeat(begin[which] - (np.cumsum(each) - each), each) + np.arange(total)]
+        digest = pa.concat_arrays(rows["digest"].chunks).take(pa.array(at))
         return pa.RecordBatch.from_arrays(
-            [digest, pa.array((first[which] + start).astype(np.int32)), pa.array(number.astype(np.int32))], ["digest", "start", "number"]
+            [digest, pa.array((first[at] + np.repeat(start, each)).astype(np.int32)), pa.array(np.repeat(n, each).astype(np.int32))], ["digest", "start", "number"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +271,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         anchors.select("h", place.alias("p")).groupBy("h").agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count("*").alias("n"))
         .where("a < b").select("h", (F.col("n") > HOT).alias("hot"))
     )
+    # stored, so that the join has plain exchanges on both sides, which Spark can split at a hot gram
+    grams = store.keep(grams, "grams")
+    store.release(spark)
     runs = anchors.join(grams, "h").groupBy("digest").agg(F.collect_set(F.struct("h", "first", "count", "delta", "hot")).alias("runs"))
+    runs = store.keep(runs, "repeated-runs")
+    store.release(spark)
     texts = plain.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).select(F.unhex(F.md5("text")).alias("digest"), "text")
     likely = store.keep(texts.dropDuplicates(["digest"]).join(runs, "digest"), "likely")
     store.release(spark)
