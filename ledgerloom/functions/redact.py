@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The patterns of account numbers, mail addresses and phone numbers.
 IBAN_DE = r"\bDE\d{20}\b"
@@ -43,7 +44,7 @@ def email_redact(col: Column, keep_local_part: bool = True) -> Column:
     return F.when(col.rlike(f"^{EMAIL}$"), new).otherwise(col)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _scrub_phones(texts: pd.Series) -> pd.Series:
     pattern = re.compile(PHONE)
 
