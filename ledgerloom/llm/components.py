@@ -11,15 +11,20 @@ from ledgerloom.llm import store
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of u to the least of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # stored, so that the join has plain exchanges on both sides, which Spark can split at a large star
+    least = store.keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+    out = store.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
+    store.drop(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link u and its smaller neighbours to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = store.keep(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    out = store.keep(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    store.drop(least)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,7 +45,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     seen = mark(now)
     while seen[0]:
-        after = store.keep(_small_star(_large_star(now)), "edges")
+        large = _large_star(now)
+        after = _small_star(large)
+        store.drop(large)
         store.drop(now)
         now, was, seen = after, seen, mark(after)
         if seen == was:
