@@ -11,6 +11,8 @@ from ledgerloom.operators import relate
 # Fixed values of the alias score and of the least token overlap.
 ALIAS_BASE, ALIAS_LENGTH, ALIAS_MOST = 0.6, 60, 0.39
 LEAST_OVERLAP = 0.3
+#: What Python's strip() takes off.
+BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def alias_score(alias: Column) -> Column:
@@ -20,20 +22,24 @@ def alias_score(alias: Column) -> Column:
 def alias_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, name_id: str, alias_col: str, gram: int = 4) -> DataFrame:
     """Of each text the alias it contains with the best score (longest; ties to the smaller id): (id_col, name_id, alias_col, score).
 
-    Candidates meet by the alias's first ``gram`` letters, which every text that
-    contains it has as one of its distinct letter groups; the whole alias is then
-    looked for. No pair of text and alias is made without a common group. Aliases
-    under ``gram`` letters are too broad and left out.
+    Aliases are compared lower-cased and trimmed; blank ones match nothing. Candidates
+    meet by the alias's first ``gram`` letters, or by all of a shorter alias: every text
+    that contains it has them as one of its distinct letter groups of that length. The
+    whole alias is then looked for. No pair of text and alias is made without a common group.
     """
-    names = aliases.select(name_id, alias_col, F.lower(alias_col).alias("__low")).where(F.length("__low") >= gram)
+    names = aliases.select(name_id, alias_col, F.regexp_replace(F.lower(alias_col), BLANK_ENDS, "").alias("__low")).where("__low <> ''")
     names = names.withColumn("__gram", F.substring("__low", 1, gram))
     low = texts.select(id_col, F.lower(text_col).alias("__text")).where("__text is not null")
-    starts = F.sequence(F.lit(1), F.greatest(F.length("__text") - gram + 1, F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring("__text", i, gram)))
+
+    def groups(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("__text") - n + 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.substring("__text", i, n)))
+
+    grams = F.array_distinct(F.concat(*(groups(n) for n in range(1, gram + 1))))
     met = low.select(id_col, "__text", F.explode(grams).alias("__gram")).join(names, "__gram").where(F.contains("__text", "__low"))
-    scored = met.withColumn("score", alias_score(F.col(alias_col)))
+    scored = met.withColumn("score", alias_score(F.col("__low")))
     return relate.first_per_key(
-        scored, [id_col], [F.desc("score"), F.desc(F.length(alias_col)), F.asc(name_id)]
+        scored, [id_col], [F.desc("score"), F.desc(F.length("__low")), F.asc(name_id), F.asc(alias_col)]
     ).select(id_col, name_id, alias_col, "score")
 
 
