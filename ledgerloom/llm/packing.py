@@ -83,29 +83,31 @@ def rank_intervals(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[in
 
 
 def cut_documents(
-    docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, drops_space: bool = False,
+    docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): each text's ids with the end id, in full pieces and a rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding.encoder(tokenizer, drops_space)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        coder = encoding.encoder(tokenizer)
         for batch in batches:
-            which, start, length, crc, total = [], [], [], [], []
-            for i, ids in enumerate(coder.encode(batch.column(1).to_pylist())):
-                raw = memoryview(ids + end)
-                n = len(raw) // 4
-                for at in range(0, n, capacity):
-                    which.append(i)
-                    start.append(at)
-                    length.append(min(capacity, n - at))
-                    crc.append(crc32(raw[4 * at : 4 * (at + capacity)]))
-                    total.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
-                ["id", "start", "length", "ids_crc32", "doc_tokens"],
-            )
+            at = 0
+            for ids, ends in coder.encode(batch.column(1)):
+                n = len(ends)
+                raw = memoryview(np.insert(ids, ends, end_id)).cast("B")
+                begins = np.concatenate([[0], ends + np.arange(1, n + 1)])
+                total = np.diff(begins)
+                pieces = -(-total // capacity)
+                which = np.repeat(np.arange(n), pieces)
+                start = capacity * (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                length = np.minimum(capacity, total[which] - start)
+                first = 4 * (begins[which] + start)
+                crc = [crc32(raw[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at + which)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[which]))],
+                    ["id", "start", "length", "ids_crc32", "doc_tokens"],
+                )
+                at += n
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, PIECES.format(rows.schema["id"].dataType.simpleString()))
@@ -146,7 +148,7 @@ def pack_documents(
     packed like any other; which of two equal rows gets which place is open.
     Extra columns are ignored. Empty table: no rows.
     """
-    pieces = store.keep(cut_documents(docs, tokenizer, end_id, capacity, False, id_col, text_col), "pieces")
+    pieces = store.keep(cut_documents(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces")
     return pack_pieces(pieces, capacity).withColumnRenamed("id", id_col)
 
 

@@ -1,10 +1,10 @@
 """Token ids as ORC files: run-length encoded integers, row indexes and Bloom filters on the document id.
 
-The rows are dealt out by ranges of the document id and sorted, so the files'
-names order the whole set, a stripe holds a narrow range of ids, and a reader
+The rows are dealt out by ranges of the document id and sorted, so the numbers in
+the files' names order the whole set, a stripe holds a narrow range of ids, and a reader
 that asks for some ids skips files, stripes and row groups by their minima,
-maxima and Bloom filters. Each row also holds its place in its file, so the
-place in the whole set needs only the totals of the files.
+maxima and Bloom filters. Each row also holds its place among its task's, so the
+place in the whole set needs only the totals of the tasks.
 """
 
 from __future__ import annotations
@@ -30,39 +30,33 @@ ORC = {
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, drops_space: bool = True,
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> None:
     """Encode every text and write (doc_id, place, tokens) in ascending ``id_col`` order as ORC.
 
-    ``place`` counts the ids before the row in its file. Null and empty texts are
+    ``place`` counts the ids before the row in its task's file or files. Null and empty texts are
     the end id alone; null ids come first; rows of one id are ordered by their
     text's hash; repeated rows are all written. Extra columns are left out. An
     empty table gives files without rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding.encoder(tokenizer, drops_space)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        coder = encoding.encoder(tokenizer)
         before = 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            at, held, rows = 0, 0, []
-            for i, got in enumerate(coder.encode(texts)):
-                rows.append(got + end)
-                held += len(got) + 4
-                if held >= 1 << 22 or i + 1 == len(texts):
-                    sizes = np.fromiter((len(r) // 4 for r in rows), dtype=np.int64, count=len(rows))
-                    ends = np.cumsum(sizes)
-                    lists = pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                        pa.array(np.frombuffer(b"".join(rows), dtype="<i4")),
-                    )
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, len(rows)), pa.array(before + ends - sizes), lists], ["doc_id", "place", "tokens"]
-                    )
-                    before += int(ends[-1])
-                    at, held, rows = i + 1, 0, []
+            at = 0
+            for ids, ends in coder.encode(batch.column(1)):
+                n = len(ends)
+                tokens = np.insert(ids, ends, end_id)
+                ends = ends + np.arange(1, n + 1)
+                begins = np.concatenate([[0], ends])
+                lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(tokens.view(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, n), pa.array(before + begins[:-1]), lists], ["doc_id", "place", "tokens"]
+                )
+                before += len(tokens)
+                at += n
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -95,11 +89,12 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
         read_tokens(spark, path).mapInArrow(run, "doc_id bigint, place bigint, file string, n_tokens bigint, ids_crc32 bigint"),
         "token-index",
     )
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select(  # one row a file
-        "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
+    rows = rows.withColumn("task", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))  # a number: part-100000 is after part-99999
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = rows.groupBy("task").agg(F.sum("n_tokens").alias("n")).select(  # one row a task of the writing job
+        "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
     )
-    return rows.join(files, "file").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(tasks, "task").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

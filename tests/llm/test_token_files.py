@@ -1,5 +1,6 @@
 """ORC token files: exact round trip, order and metadata pruning."""
 
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -55,3 +56,26 @@ def test_pruning(spark):
     tables = [orc.ORCFile(f"{local}/{n}").read(["doc_id"])["doc_id"].to_pylist() for n in names]
     assert [i for t in tables for i in t] == [10 * i for i in range(6000)]
     assert all(orc.ORCFile(f"{local}/{n}").compression == "ZSTD" for n in names)
+
+
+def test_order_of_many_files_and_split_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i} here", 0) for i in range(40)], "doc_id long, text string, place int")
+    path = store.new_path(spark, "t")
+    token_files.write_tokens(df, path, PATH)
+    local = Path(path.removeprefix("file:"))
+    names = sorted(p for p in local.iterdir() if p.name.startswith("part-"))
+    for i, p in enumerate(names):  # numbers around 100,000, whose names do not sort as strings
+        n = 99_998 + i
+        p.rename(local / p.name.replace(p.name.split("-")[1], f"{n:05d}", 1))
+    for p in local.glob(".*.crc"):
+        p.unlink()
+    got = sorted(tuple(r) for r in token_files.token_index(spark, path).collect())
+    assert got == expected([(i, f"text {i} here") for i in range(40)])
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        path = store.new_path(spark, "t")
+        token_files.write_tokens(df, path, PATH)
+        got = sorted(tuple(r) for r in token_files.token_index(spark, path).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert got == expected([(i, f"text {i} here") for i in range(40)])
