@@ -1,6 +1,7 @@
 """FM-index over a sequence of small integers, in numpy.
 
-The suffixes are sorted by prefix doubling over the groups that are still open.
+The suffixes are sorted by as many of their first symbols as a 63-bit number holds,
+then by prefix doubling over the groups that are still open.
 Ranks in the Burrows-Wheeler transform come from a wavelet tree, stored level by
 level with a running count of ones; every ``SAMPLE``-th position of the text is
 kept, and an occurrence is located by walking back to one. All queries go
@@ -15,11 +16,16 @@ SAMPLE = 16
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of ``text`` in order; a suffix that is a prefix of another comes first."""
+    """Starts of the suffixes of ``text`` (integers from 0) in order; a suffix that is a prefix of another comes first."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    order = np.argsort(rank, kind="stable")
-    step = 1
+    bits = max(1, int(text.max(initial=0) + 1).bit_length())
+    step = max(1, 63 // bits)
+    text = np.concatenate([text.astype(np.int64) + 1, np.zeros(step, dtype=np.int64)])
+    key = text[:n].copy()
+    for k in range(1, step):
+        key = key << bits | text[k : n + k]
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
     at = np.arange(n)  # the places in order whose suffixes are not yet told apart
 
     def renumber(sorted_keys: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -28,7 +34,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         head[1:] = (sorted_keys[1:] != sorted_keys[:-1]).any(axis=1)
         return places[np.maximum.accumulate(np.where(head, np.arange(len(places)), 0))]
 
-    rank[order] = renumber(rank[order][:, None], at) + 1
+    ranked = renumber(key[order][:, None], at) + 1
+    rank[order] = ranked
+    same = ranked[1:] == ranked[:-1]
+    at = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same])) if n else at
     while len(at):
         follow = np.zeros(len(at), dtype=np.int64)
         behind = order[at] + step

@@ -1,13 +1,16 @@
 """Links between distinct 64-bit fingerprints that differ in a few bits.
 
-Fingerprints within ``MAX_BITS`` = 3 bits of each other agree in at least two of
-five blocks of bits, so each is keyed by all ten pairs of blocks and only rows of
-an equal key meet. There the pivot table decides: the Hamming distances of every
+Fingerprints within ``MAX_BITS`` = 3 bits of each other agree in all but three of any
+number of blocks of bits, so each is keyed by all sets of so many blocks (of five
+blocks, by all ten pairs) and only rows of an equal key meet. More fingerprints ask
+for longer keys, so their number decides on that of the blocks; the links found
+have the same components with any. Where rows meet the pivot table decides: the Hamming distances of every
 fingerprint to the reference fingerprints are computed first, rows are ordered by
 the first coordinate, and a pair is compared bit by bit only if no coordinate
 differs by more than three (the triangle inequality makes that lossless).
-A key with many fingerprints is dealt out as pairs of chunks, so no task gets all
-of it and no pair is lost; a task returns links that span its groups, not all pairs.
+Keys are counted before their rows meet. A key with many fingerprints is dealt out
+as pairs of chunks, so no task gets all of it and no pair is lost; a task returns
+links that span its groups, not all pairs.
 """
 
 from __future__ import annotations
@@ -20,12 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import store
+
 MAX_BITS = 3
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (first bit, bits)
 PIVOTS = 24
+ROWS = 64  # fingerprints that a key has on average, at most
 CHUNK = 4096  # fingerprints of one key that meet in one task
 
 
+def blocks_for(n: int, bits: int = MAX_BITS) -> int:
+    """The least number of blocks, from five up, whose keys have ROWS of ``n`` fingerprints or fewer on average; at most eight."""
+    return next((b for b in range(bits + 2, 8) if n >> (64 // b * (b - bits)) <= ROWS), 8)
+
+
 def pivots(n: int = PIVOTS) -> np.ndarray:
     """Reference fingerprints: the first n values of a 64-bit mixing sequence."""
     x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -113,31 +123,29 @@ def _link_groups(keys: tuple[str, ...], refs: np.ndarray):
     return run
 
 
-def near_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
+def near_links(fps: DataFrame, fp: str = "fp", blocks: int | None = None) -> DataFrame:
     """(a, b) links whose components are those of all pairs of distinct ``fp`` (long) within MAX_BITS bits.
 
-    ``fps`` must hold each value once; nulls are left out.
+    ``fps`` must hold each value once; nulls are left out. ``blocks``: by their number if not given.
     """
-    from pyspark.sql import Window
-
-    block = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << n) - 1)) for lo, n in BLOCKS]
-    keys = F.array(*(
-        (F.lit(i << 26) + F.shiftleft(block[x], 13) + block[y]).cast("int")
-        for i, (x, y) in enumerate(combinations(range(len(BLOCKS)), 2))
+    plain = fps.select(F.col(fp).alias("fp")).where("fp is not null")
+    if blocks is None:
+        blocks = blocks_for(plain.count())
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen) for chosen in combinations(range(blocks), blocks - MAX_BITS)]
+    keys = F.array(*(  # a set of blocks and the bits in them
+        F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks)
     ))
-    keyed = fps.select(F.col(fp).alias("fp")).where("fp is not null").select("fp", F.explode(keys).alias("key"))
-    counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    refs = pivots()
-    few = counted.where((F.col("n") > 1) & (F.col("n") <= CHUNK)).select("key", "fp")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-    many = (
-        counted.where(F.col("n") > CHUNK).withColumn("g", chunks).withColumn("c", mine)
+    keyed = plain.select("fp", F.explode(keys).alias("key"))
+    # stored, so that the join has plain exchanges on both sides, which Spark can split at a hot key
+    counts = store.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "fingerprint-keys")
+    g = F.ceil(F.col("n") / CHUNK).cast("int")
+    dealt = (
+        keyed.join(counts, "key").withColumn("g", g).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
         .select("key", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("x"))
         .select("key", "fp", F.least("c", "x").alias("lo"), F.greatest("c", "x").alias("hi"))
         .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     )
-    schema = "a long, b long"
-    return few.mapInArrow(_link_groups(("key",), refs), schema).unionByName(
-        many.mapInArrow(_link_groups(("key", "lo", "hi"), refs), schema)
-    )
+    links = store.keep(dealt.mapInArrow(_link_groups(("key", "lo", "hi"), pivots()), "a long, b long").distinct(), "fingerprint-links")
+    store.drop(counts)
+    return links

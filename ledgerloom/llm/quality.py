@@ -1,14 +1,20 @@
 """Quality rules whose cutoffs are chosen with a guaranteed limit on false rejections.
 
 Each rule scores a document; it rejects scores at or above a cutoff. Cutoffs are
-chosen per stratum from labelled documents: going from the most lenient cutoff
-down, the hypothesis "this rule rejects more than alpha / rules of the good
-documents" is tested with the exact binomial tail, at level delta shared over all
-strata and rules (Bonferroni; within one rule the cutoffs are tested in a fixed
-order, which needs no further share). With probability 1 - delta no stratum
-loses more than alpha of its good documents. Of the cutoffs that pass, the one
-that rejects most bad documents, less ``weight`` times the good ones, is taken;
-where none passes or none helps, the rule rejects nothing in that stratum.
+chosen per stratum along a path of ever stricter sets of cutoffs. The path is laid
+without the good labels: from the bad ones and the unlabelled documents, each
+rule's cutoffs that lie on the concave hull of (documents rejected, bad ones rejected)
+are ordered by how many bad ones each rejects for a document. The labelled good
+documents are the holdout. For each set on the path, in that fixed order, the
+hypothesis "these rules together reject more than alpha of the good documents" is
+tested with the exact binomial tail, at level delta shared over the strata
+(Bonferroni); the fixed order needs no further share, and its tests end at the first that fails.
+So with probability 1 - delta no stratum loses more than alpha of its good documents
+to these rules, whichever proven set is taken: the one that rejects most bad documents,
+less ``weight`` times the good ones. Where none is proven or none helps, nothing is rejected.
+
+The base rules (few words, repeated words) are fixed and outside this bound: cutoffs are
+chosen among documents that pass them, and the bound is on the good ones among those.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import rows, store
 
 STEPS = 1000  # cutoffs of a score between 0 and 1
+NEVER = 1 << 30
 ALPHA = 0.02
 DELTA = 0.05
 WEIGHT = 20
@@ -140,36 +147,93 @@ def _stratum(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit("\0"))
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def hull(step: np.ndarray, everyone: np.ndarray, bad: np.ndarray) -> list[tuple[float, int]]:
+    """(bad ones rejected for a document, cutoff), strictest last, of the cutoffs on the upper hull from (0, 0).
+
+    ``everyone`` and ``bad``: documents of each score, by descending ``step``; the bad are among everyone.
+    """
+    points = [(0, 0, 0)]
+    for x, y, c in zip(np.cumsum(everyone).tolist(), np.cumsum(bad).tolist(), step.tolist(), strict=True):
+        if y == points[-1][1]:
+            continue
+        while len(points) > 1 and (points[-1][1] - points[-2][1]) * (x - points[-1][0]) <= (y - points[-1][1]) * (points[-1][0] - points[-2][0]):
+            points.pop()
+        points.append((x, y, c))
+    return [((q[1] - p[1]) / (q[0] - p[0]), q[2]) for p, q in zip(points, points[1:], strict=False)]
+
+
+def lay_path(table: pd.DataFrame) -> list[tuple[int, int]]:
+    """(rule, cutoff) of each step of a stratum's path, from (rule, step, everyone, bad) rows."""
+    found = []
+    for rule, own in table[table["step"] > 0].sort_values("step", ascending=False).groupby("rule"):
+        found += [(-slope, int(rule), -cutoff) for slope, cutoff in hull(*(own[c].to_numpy() for c in ("step", "everyone", "bad")))]
+    return [(rule, -cutoff) for _, rule, cutoff in sorted(found)]
+
+
 def choose_cutoffs(
     measured: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", label_col: str = "quality",
     alpha: float = ALPHA, delta: float = DELTA, weight: float = WEIGHT,
 ) -> DataFrame:
     """(stratum, rule, cutoff) for every rule that may and does reject something.
 
-    ``measured`` has the columns of FIELDS. Every label row of a document counts;
-    rows with a null label or id don't.
+    ``measured`` has the columns of FIELDS and is read three times. Documents that
+    fail the base rules don't count. Every label row of a document counts; rows
+    with a null label or id don't.
     """
-    marked = measured.select(id_col, _stratum(stratum_col).alias("stratum"), *(_step(r).alias(r) for r in RULES)).join(
-        labels.select(id_col, F.col(label_col).alias("good")).where("good is not null"), id_col
+    names = list(RULES)
+    scored = measured.where(~_base_failed()).select(
+        F.col(id_col).alias("id"), _stratum(stratum_col).alias("stratum"), F.array(*map(_step, names)).alias("steps")
+    )
+    marks = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("good")).where("good is not null")
+    marked = store.keep(scored.join(marks, "id").drop("id"), "marked")
+
+    def histogram(rows: DataFrame, *counts: Column) -> DataFrame:
+        return rows.select("*", F.posexplode("steps").alias("rule", "step")).groupBy("stratum", "rule", "step").agg(*counts)
+
+    good, bad = (F.sum(F.when(F.col("good") == g, 1).otherwise(0)) for g in (True, False))
+    every = histogram(scored, F.count("*").alias("n")).join(
+        histogram(marked, good.alias("good"), bad.alias("bad")), ["stratum", "rule", "step"], "left"
+    ).na.fill(0, ["good", "bad"])
+    # without the good ones; more label rows than documents leave the bad ones
+    table = every.select("stratum", "rule", "step", "bad", F.greatest(F.col("n") - F.col("good"), F.col("bad")).alias("everyone"))
+
+    def lay(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        path = lay_path(group)
+        enters = [np.full(STEPS + 1, NEVER) for _ in names]
+        for k, (rule, cutoff) in reversed(list(enumerate(path))):
+            enters[rule][cutoff:] = k
+        rules, cutoffs = zip(*path, strict=True) if path else ((), ())
+        out = {"stratum": [key[0]], "enters": [[x.tolist() for x in enters]], "rules": [list(rules)], "cutoffs": [list(cutoffs)]}
+        return pd.DataFrame(out)[: len(path) and 1]
+
+    # at most STEPS + 1 rows for each stratum and rule go in, one row a stratum comes out
+    paths = store.keep(
+        table.groupBy("stratum").applyInPandas(lay, "stratum string, enters array<array<int>>, rules array<int>, cutoffs array<int>"), "paths"
+    )
+    level = delta / max(1, paths.count())
+    index = F.array_min(F.transform("steps", lambda s, r: F.get(F.get("enters", r), s)))
+    entered = marked.join(paths.select("stratum", "enters"), "stratum").select("stratum", index.alias("k"), "good").groupBy("stratum", "k").agg(
+        good.alias("good"), bad.alias("bad")
     )
-    table = marked.select("stratum", "good", F.explode(F.array(*(
-        F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES
-    ))).alias("x")).groupBy("stratum", "x.rule", "x.step").agg(
-        F.sum(F.when(F.col("good") > 0, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good") > 0, 0).otherwise(1)).alias("bad")
-    )  # at most STEPS + 1 rows for each stratum and rule
-    table = store.keep(table, "steps")
-    tests = max(1, table.select("stratum", "rule").distinct().count())
+    entered = entered.join(paths.select("stratum", "rules", "cutoffs"), "stratum")
 
     def pick(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("step", ascending=False)
-        good, bad = group["good"].cumsum().to_numpy(), group["bad"].cumsum().to_numpy()
-        allowed = most_allowed(int(good[-1]), alpha / len(RULES), delta / tests)
-        gain = np.where((good <= allowed) & (group["step"].to_numpy() > 0), bad - weight * good, 0)
-        best = int(gain.argmax())
-        out = {"stratum": [key[0]], "rule": [key[1]], "cutoff": [int(group["step"].iloc[best])]}
-        return pd.DataFrame(out)[: int(gain[best] > 0)]
+        rules, cutoffs = group["rules"].iloc[0], group["cutoffs"].iloc[0]
+        n = len(rules)
+        counts = group[group["k"] < n].set_index("k")[["good", "bad"]].reindex(range(n), fill_value=0).cumsum()
+        proven = counts[counts["good"] <= most_allowed(int(group["good"].sum()), alpha, level)]
+        gain = proven["bad"] - weight * proven["good"]
+        took = gain.to_numpy().argmax() + 1 if len(gain) and gain.max() > 0 else 0
+        last = {names[r]: int(c) for r, c in zip(rules[:took], cutoffs[:took], strict=True)}
+        out = {"stratum": [key[0]] * len(last), "rule": list(last), "cutoff": list(last.values())}
+        return pd.DataFrame(out, dtype=object)
 
-    return table.groupBy("stratum", "rule").applyInPandas(pick, "stratum string, rule string, cutoff int")
+    # a row for each step of the stratum's path
+    return entered.groupBy("stratum").applyInPandas(pick, "stratum string, rule string, cutoff int")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> DataFrame:
@@ -178,12 +242,11 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") ->
     over = F.filter(F.array(*(
         F.when(_step(r) >= F.col("__limits").getItem(r), F.lit(r)) for r in RULES
     )), lambda r: r.isNotNull())
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     own = [c for c in measured.columns if c.lower() not in ("base_failed", "failed_rules", "kept")]
     return (
         measured.select(*own, _stratum(stratum_col).alias("__stratum"))
         .join(limits.withColumnRenamed("stratum", "__stratum"), "__stratum", "left")
-        .select(*own, base.alias("base_failed"), F.coalesce(over, F.array().cast("array<string>")).alias("failed_rules"))
+        .select(*own, _base_failed().alias("base_failed"), F.coalesce(over, F.array().cast("array<string>")).alias("failed_rules"))
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
     )
 
@@ -198,12 +261,12 @@ def quality_filter(
     empty text has no words and fails. Null strata are a stratum of their own;
     null ids have no labels; repeated rows are judged alike. Without labels, or
     with too few for the bound, only the base rules reject. Empty table: no
-    rows. Columns of ``docs`` with the new names are replaced. The texts are read
-    twice (cutoffs, then verdicts) and never shuffled.
+    rows. Columns of ``docs`` with the new names are replaced. ``docs`` are
+    measured once, stored with their figures, and never shuffled.
     """
-    small = features(docs.select(id_col, F.col(stratum_col).alias("__lang"), F.col(text_col).alias("__t")), "__t").drop("__t")
-    cutoffs = store.keep(choose_cutoffs(small, labels, "__lang", id_col, label_col, alpha, delta), "cutoffs")
-    return judge(features(docs, text_col), cutoffs, stratum_col)
+    measured = store.keep(features(docs, text_col), "measured")
+    cutoffs = store.keep(choose_cutoffs(measured, labels, stratum_col, id_col, label_col, alpha, delta), "cutoffs")
+    return judge(measured, cutoffs, stratum_col)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

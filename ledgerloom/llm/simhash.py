@@ -53,12 +53,15 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
 def _labels(prints: DataFrame) -> DataFrame:
     """(fp, root, component_id) of every fingerprint, from (id, fp) rows."""
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components.components(hamming.near_links(nodes))
+    links = hamming.near_links(nodes)
+    roots = components.components(links)
     of = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return store.keep(of.join(named, "root").select("fp", "root", "component_id"), "labels")
+    labels = store.keep(of.join(named, "root").select("fp", "root", "component_id"), "labels")
+    store.drop(links)
+    return labels
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -75,20 +78,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the least id.
-
-    Null ids come last; of rows with an equal id the one whose text has the least
-    hash stays, and of rows equal in both any one. Null and empty texts are a
-    component like any other. All columns pass. Empty table: no rows.
-    """
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    keyed = docs.withColumn("__key", key)
-    prints = store.keep(fingerprints(keyed, "__key", text_col, shingle), "prints")
-    stays = prints.join(_labels(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min("id").alias("__key"))
-    return keyed.join(stays.select("__key"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     groups = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

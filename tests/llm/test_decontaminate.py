@@ -69,7 +69,7 @@ def test_hard_cases(spark, monkeypatch):
     want = slow(texts, items)
     for block in (decontaminate.BLOCK, 3):
         monkeypatch.setattr(decontaminate, "SHARD_WORDS", 1 << 20 if block > 3 else 50)
-        out = decontaminate.decontaminate(docs, bench, block=block).collect()
+        out = sorted(decontaminate.decontaminate(docs, bench, block=block).collect(), key=lambda r: r.doc_id or 0)
         assert [(r.n_words, flat(r.spans), r["items"]) for r in out if r.doc_id is not None] == want
         assert [(r.n_words, r.cleaned) for r in out if r.doc_id is None] == [(2, "")] * 2
         by = {r.doc_id: r for r in out}
@@ -78,6 +78,19 @@ def test_hard_cases(spark, monkeypatch):
     assert all(r.spans == [] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_plan_does_not_grow_with_the_blocks(spark, monkeypatch):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(11))) for i in range(5)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"some words {t} and more" for _, t in items]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size = []
+    for block in (5, 1):
+        found = decontaminate.decontaminate(docs, bench, block=block)
+        size.append(found._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        assert sorted(tuple(r["items"]) for r in found.collect()) == [(str(i),) for i in range(5)]
+    assert size[0] == size[1]
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
