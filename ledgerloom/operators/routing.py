@@ -24,8 +24,9 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: s
 
     Aliases are compared lower-cased and trimmed; blank ones match nothing. Candidates
     meet by the alias's first ``gram`` letters, or by all of a shorter alias: every text
-    that contains it has them as one of its distinct letter groups of that length. The
-    whole alias is then looked for. No pair of text and alias is made without a common group.
+    that contains it has them as one of its distinct letter groups of that length. Only
+    ids and letter groups meet there; each text then comes to its own candidates once, and the
+    whole alias is looked for. No pair of text and alias is made without a common group.
     """
     names = aliases.select(name_id, alias_col, F.regexp_replace(F.lower(alias_col), BLANK_ENDS, "").alias("__low")).where("__low <> ''")
     names = names.withColumn("__gram", F.substring("__low", 1, gram))
@@ -36,7 +37,11 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: s
         return F.array_distinct(F.transform(starts, lambda i: F.substring("__text", i, n)))
 
     grams = F.array_distinct(F.concat(*(groups(n) for n in range(1, gram + 1))))
-    met = low.select(id_col, "__text", F.explode(grams).alias("__gram")).join(names, "__gram").where(F.contains("__text", "__low"))
+    candidates = low.select(F.col(id_col).alias("__id"), F.explode(grams).alias("__gram")).join(names.select("__gram").distinct(), "__gram")
+    candidates = candidates.join(names, "__gram").groupBy("__id").agg(F.collect_set(F.struct(name_id, alias_col, "__low")).alias("__names"))
+    met = low.join(candidates, F.col(id_col).eqNullSafe(F.col("__id"))).select(
+        id_col, F.explode(F.filter("__names", lambda n: F.contains(F.col("__text"), n["__low"]))).alias("__n")
+    ).select(id_col, "__n.*")
     scored = met.withColumn("score", alias_score(F.col("__low")))
     return relate.first_per_key(
         scored, [id_col], [F.desc("score"), F.desc(F.length("__low")), F.asc(name_id), F.asc(alias_col)]

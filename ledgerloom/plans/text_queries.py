@@ -11,15 +11,18 @@ from ledgerloom.plans.tables import table
 
 
 def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with mail addresses and account numbers scrubbed: how many, and the digest of what is left."""
+    """Documents with account numbers and mail addresses scrubbed: how many addresses, and the digest of what is left."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mails = F.size(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"), F.lit(1)))
-    neutral = F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "mail@example.com")
-    return d.select("doc_id", F.coalesce(mails, F.lit(0)).cast("long").alias("n_mails"), F.sha2(neutral, 256).alias("clean_sha256"))
+    mails = F.size(F.regexp_extract_all("text", F.lit(redact.EMAIL), F.lit(0)))
+    return d.select(
+        "doc_id", F.coalesce(mails, F.lit(0)).cast("long").alias("n_mails"), F.sha2(redact.scrub_mail_and_iban(F.col("text")), 256).alias("clean_sha256")
+    )
 
 
-SCRUBBED = r"""select doc_id, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')), 0) as n_mails,
-  sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', 'mail@example.com', 'g')) as clean_sha256 from documents"""
+_MAIL = r"\b([A-Za-z0-9._%+-]+)@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+_SHORT_IBAN = r"""regexp_replace(regexp_replace(text, '\bDE[0-9]{16}([0-9]{4})\b', '****\1', 'g'), '\b[A-Z]{2}[0-9]{2}[A-Z0-9]{7,26}([A-Z0-9]{4})\b', '****\1', 'g')"""
+_CLEAN = f"regexp_replace({_SHORT_IBAN}, '{_MAIL}', '\\1@example.com', 'g')"
+SCRUBBED = f"select doc_id, coalesce(len(regexp_extract_all(text, '{_MAIL}')), 0) as n_mails, sha256({_CLEAN}) as clean_sha256 from documents"
 
 
 def scrub_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +31,15 @@ def scrub_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", (F.col("once") != F.col("text")).alias("changed"), F.sha2("once", 256).alias("scrubbed_sha256"))
 
 
+_PHONE = r"\+?[0-9][0-9\s\-/]{7,}[0-9]"
+SCRUB_ALL = rf"""with c as (select doc_id, text, {_CLEAN} as t from documents),
+p as (select doc_id, text, string_split_regex(t, '{_PHONE}') as gaps, regexp_extract_all(t, '{_PHONE}') as hits from c),
+h as (select doc_id, text, gaps, list_transform(hits, lambda h: case when length(regexp_replace(h, '[^0-9]', '', 'g')) < 8 then h else
+  case when h[1] = '+' then '+' || left(regexp_replace(regexp_extract(h, '^\+*\s*(\S+)', 1), '[^0-9]', '', 'g'), 3) || ' ' else '' end || '*** **' || right(regexp_replace(h, '[^0-9]', '', 'g'), 4) end) as new from p),
+o as (select doc_id, text, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(new[i], '')), '') as once from h)
+select doc_id, once <> text as changed, sha256(once) as scrubbed_sha256 from o"""
+
+
 def doc_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as file names: the kind of document of each, counted."""
     kinds = ("rechnung", "mahnung", "lease_2", "addendum", "kaufvertrag", "permit", "survey", "brief")
@@ -81,7 +93,7 @@ def alias_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALIAS = """with t as (select s_suppkey, lower('delivery of ' || s_name || ' to ' || lower(n_name) || ' today') as x from supplier join nation on n_nationkey = s_nationkey),
-m as (select s_suppkey, n_nationkey, n_name, 0.6::double + least(length(n_name) / 60, 0.39) as score from t join nation on contains(x, lower(n_name)) where length(n_name) >= 4)
+m as (select s_suppkey, n_nationkey, n_name, 0.6::double + least(length(n_name) / 60, 0.39) as score from t join nation on contains(x, lower(n_name)) where trim(n_name) <> '')
 select s_suppkey, n_nationkey, round(score, 4) as score from (select *, row_number() over (partition by s_suppkey order by score desc, length(n_name) desc, n_nationkey) as r from m) where r = 1"""
 
 
@@ -153,17 +165,32 @@ select o_orderkey, cast(price as double) as amount, case when day >= '2000' then
 
 
 def unrouted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why documents as mails would find no property, counted by language."""
+    """Why each document, as a mail behind one of several openings, would find no property."""
     d = table(spark, sf_dir, "documents")
-    sender = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a@"), F.col("source"))).when(F.col("doc_id") % 3 == 1, "b@new.example")
+    openings = F.array(*map(F.lit, OPENINGS))
+    opening = F.element_at(openings, (F.col("doc_id") % len(OPENINGS)).cast("int") + 1)
+    body = F.concat(opening, F.left(F.coalesce("text", F.lit("")), (F.col("doc_id") % 97).cast("int")), F.lit("\n--\nsender"))
+    sender = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a@"), F.col("source"))).when(F.col("doc_id") % 7 > 1, "b@new.example")
     known = F.array(F.lit("web"), F.lit("news"))
-    why = text.unrouted_reason(F.coalesce("text", F.lit("")), F.lit(None).cast("string"), sender, F.col("lang"), known)
-    return d.select("lang", why.alias("reason")).groupBy("lang", "reason").agg(F.count("*").alias("n"))
+    return d.select("doc_id", text.unrouted_reason(body, F.lit(None).cast("string"), sender, F.col("lang"), known).alias("reason"))
+
+
+OPENINGS = ("Dear all, this is an ordinary letter of some length. ", "I am out of office until next week, thank you. ", "Das Hausgeld ist im Mai noch nicht bezahlt worden. ",
+            "The radiator in Apartment 12b is cold since Monday, please help. ", "Ok. ")
+UNROUTED = r"""with o as (select ['Dear all, this is an ordinary letter of some length. ', 'I am out of office until next week, thank you. ', 'Das Hausgeld ist im Mai noch nicht bezahlt worden. ',
+  'The radiator in Apartment 12b is cold since Monday, please help. ', 'Ok. '] as openings),
+m as (select doc_id, lang, regexp_replace(openings[doc_id % 5 + 1] || left(coalesce(text, ''), (doc_id % 97)::int), '^\s+|\s+$', '', 'g') as b, openings[doc_id % 5 + 1] || left(coalesce(text, ''), (doc_id % 97)::int) as body,
+  lower(case when doc_id % 2 = 0 then source when doc_id % 7 > 1 then 'new.example' end) as domain from documents, o)
+select doc_id, case when length(b) < 50 then 'body_too_short' when regexp_matches(b, '(?i)\b(auto[\s-]?reply|out\s+of\s+office|abwesenheit|abwesenheits[a-z]+|automatic[a-z]+)\b') then 'auto_reply'
+  when lang not in ('de', 'en', 'nl', 'af', 'unknown') then 'non_de_en_language_' || lang when regexp_matches(body, '(?i)\bhausgeld\b') then 'weg_keyword_no_liegenschaft'
+  when regexp_matches(body, '(?i)\bapartment\s*[0-9]{1,3}[a-z]?\b') then 'property_tokens_no_alias_match' when domain is not null and domain not in ('web', 'news') then 'unknown_sender_domain'
+  when domain is not null then 'no_signal_known_sender' else 'no_signal' end as reason from m"""
+
 
 _NAMES = {
-    "i3_scrubbed_mail": (scrubbed, SCRUBBED), "i4_scrub_all": (scrub_all, None), "i18_doc_class": (doc_class, DOC_CLASS), "i19_topics": (topics, TOPICS), "d17_token_overlap": (token_overlap, TOKENS),
+    "i3_scrubbed_mail": (scrubbed, SCRUBBED), "i4_scrub_all": (scrub_all, SCRUB_ALL), "i18_doc_class": (doc_class, DOC_CLASS), "i19_topics": (topics, TOPICS), "d17_token_overlap": (token_overlap, TOKENS),
     "d16_alias_contains": (alias_contains, ALIAS), "k3_routed": (routed, ROUTED), "i23_signatures": (signatures, SIGNATURES), "a9_thread_stats": (thread_stats, THREADS),
-    "i16_hash_keys": (hash_keys, HASH_KEYS), "i10_parsed_values": (parsed_values, PARSED), "i24_unrouted": (unrouted, None),
+    "i16_hash_keys": (hash_keys, HASH_KEYS), "i10_parsed_values": (parsed_values, PARSED), "i24_unrouted": (unrouted, UNROUTED),
 }
 QUERIES = {k: q for k, (q, _) in _NAMES.items()}
 ORACLES = {k: s for k, (_, s) in _NAMES.items() if s}

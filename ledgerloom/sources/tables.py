@@ -28,7 +28,7 @@ def bank_rows(spark: SparkSession, path: str) -> DataFrame:
     clean = redact.scrub_text(purpose)
     meta = {
         "betrag": amount.cast("string"), "betrag_signed": signed.cast("string"), "kategorie": F.col("kategorie"), "typ": F.col("typ"), "gegen_name": F.col("gegen_name"),
-        "verwendungszweck": clean, "buena_tx_id": F.col("id"), "buena_referenz_id": F.col("referenz_id"), "eh_id": text.first_match(purpose, text.UNIT_ID),
+        "verwendungszweck": clean, "tx_id": F.col("id"), "reference_id": F.col("referenz_id"), "eh_id": text.first_match(purpose, text.UNIT_ID),
         "mie_id": text.first_match(purpose, text.TENANT_ID), "invoice_ref": text.first_match(purpose, text.INVOICE_ID), "error_types": F.col("error_types"),
     }
     pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in meta.items()))
