@@ -190,18 +190,19 @@ select o_custkey, string_agg(b, chr(10) || chr(10) order by s) as content, cast(
 
 
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is stale after changes to some customers (units), nations (buildings) and regions (associations)."""
+    """What is stale: customers with new orders (units), nations with owing suppliers (buildings), a region (association), and all below them."""
     units = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit"), F.col("c_nationkey").cast("long").alias("building"))
     buildings = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("building"), F.col("n_regionkey").cast("long").alias("association"))
-    changed = units.where("unit % 10 = 0").select(F.lit("unit").alias("scope"), F.col("unit").alias("id")).unionByName(
-        buildings.where("building % 6 = 0").select(F.lit("building").alias("scope"), F.col("building").alias("id"))
-    ).unionByName(table(spark, sf_dir, "region").where("r_name = 'ASIA'").select(F.lit("association").alias("scope"), F.col("r_regionkey").cast("long").alias("id")))
+    ordered = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= at("2001-05-01")).select(F.col("o_custkey").alias("id")).distinct()
+    owing = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").cast("long").alias("id")).distinct()
+    changed = ordered.select(F.lit("unit").alias("scope"), "id").unionByName(owing.select(F.lit("building").alias("scope"), "id"))
+    changed = changed.unionByName(table(spark, sf_dir, "region").where("r_name = 'ASIA'").select(F.lit("association").alias("scope"), F.col("r_regionkey").cast("long").alias("id")))
     return render.stale_keys(changed, units, buildings)
 
 
-CASCADE = """with a as (select r_regionkey as id from region where r_name = 'ASIA'), b as (select n_nationkey as id from nation where n_nationkey % 6 = 0),
+CASCADE = """with a as (select r_regionkey as id from region where r_name = 'ASIA'), b as (select distinct s_nationkey as id from supplier where s_acctbal < 0),
 every as (
-  select 'unit' as scope, c_custkey as id, 0 as w from customer where c_custkey % 10 = 0 union all select 'building', id, 1 from b union all select 'association', id, 2 from a
+  select 'unit' as scope, o_custkey as id, 0 as w from orders where o_orderdate >= timestamp '2001-05-01' union all select 'building', id, 1 from b union all select 'association', id, 2 from a
   union all select 'unit', c_custkey, 1 from customer where c_nationkey in (select id from b)
   union all select 'building', n_nationkey, 2 from nation where n_regionkey in (select id from a)
   union all select 'unit', c_custkey, 2 from customer join nation on n_nationkey = c_nationkey where n_regionkey in (select id from a))
@@ -274,13 +275,35 @@ def stale_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STALE_HOURS = """select user_id, round(avg(h), 3) as mean_hours, count(*) filter (h > 168) as n_old from (select user_id, (epoch_us(timestamp '2024-01-31') - epoch_us(ts)) / 3.6e9 as h from events) group by 1"""
 
+def rendered_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of nations (buildings) and regions (associations): suppliers as facts, owing ones archived."""
+    f = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey").select(
+        F.col("s_nationkey").cast("long").alias("building"), F.col("n_regionkey").cast("long").alias("association"), F.lit("suppliers").alias("section"),
+        F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("field"), F.col("s_name").alias("value"), F.when(F.col("s_acctbal") < 0, "archive").otherwise("active").alias("tier"))
+    of = lambda scope: render.documents(f, scope, "section", "field", "value", "tier").select(F.lit(scope).alias("scope"), F.col(scope).alias("id"), "content", "n_facts", "n_archived")
+    return of("building").unionByName(of("association"))
+
+
+SCOPES = """with f as (select s_nationkey as b, n_regionkey as a, 'Supplier ' || s_suppkey as f, 'supplier_' || s_suppkey as k, s_name as v, s_acctbal < 0 as old from supplier join nation on n_nationkey = s_nationkey),
+d as (select 'building' as scope, b as id, * from f union all select 'association', a, * from f)
+select scope, cast(id as bigint) as id, '## Suppliers' || chr(10) || coalesce(string_agg('- ' || f || ': ' || v, chr(10) order by k) filter (not old), '') || case when count(*) filter (old) > 0 then chr(10) || 'archived: ' || count(*) filter (old) else '' end as content,
+  count(*) as n_facts, count(*) filter (old) as n_archived from d group by 1, 2"""
+
+
+def file_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One customer's document; the key reaches the scan."""
+    return rendered(spark, sf_dir).where("o_custkey = 7")
+
+
+FILE_BY_KEY = f"select * from ({RENDERED}) where o_custkey = 7"
+
 _NAMES = {
     "k35_list_counts": (list_counts, LIST_COUNTS), "d5_lateral_top1": (lateral_top1, LATERAL), "k36_activity_feed": (activity_feed, FEED), "k35_keyword_search": (keyword_search, SEARCH),
     "k35_entity_graph": (entity_graph, GRAPH), "f5_topn_overflow": (topn_overflow, TOPN), "i27_age_tiers": (age_tiers, TIERS), "e16_year_rollup": (year_rollup, YEARS),
     "e14_majority_lang": (majority_lang, MAJORITY), "g1_severity_inbox": (severity_inbox, SEVERITY), "k36_dashboard": (dashboard, DASHBOARD), "e2_breakdowns": (breakdowns, BREAKDOWNS),
     "k38_changes_since": (changes_since, CHANGES), "k26_coverage": (coverage_matrix, COVERAGE), "k16_rendered": (rendered, RENDERED), "j13_cascade": (cascade, CASCADE),
     "e20_precision_recall": (prf, PRF), "e21_calibration": (calibration, CALIBRATION), "v1_cosine_topk": (cosine_topk, COSINE), "c10_three_valued": (three_valued, THREE),
-    "k39_ask_context": (ask_context, ASK), "i35_stale_hours": (stale_hours, STALE_HOURS),
+    "k39_ask_context": (ask_context, ASK), "i35_stale_hours": (stale_hours, STALE_HOURS), "k17_scope_renders": (rendered_scopes, SCOPES), "k38_file_by_key": (file_by_key, FILE_BY_KEY),
 }
 QUERIES = {k: q for k, (q, _) in _NAMES.items()}
 ORACLES = {k: s for k, (_, s) in _NAMES.items()}

@@ -41,32 +41,37 @@ select doc_id, once <> text as changed, sha256(once) as scrubbed_sha256 from o""
 
 
 def doc_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as file names: the kind of document of each, counted."""
-    kinds = ("rechnung", "mahnung", "lease_2", "addendum", "kaufvertrag", "permit", "survey", "brief")
+    """Parts as file names in many spellings: the kind of document of each."""
+    kinds = KINDS_OF_FILES
     word = F.element_at(F.array(*map(F.lit, kinds)), (F.col("p_partkey") % len(kinds)).cast("int") + 1)
-    name = F.concat(F.lit("2024_"), word, F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".pdf"))
-    return table(spark, sf_dir, "part").select(text.document_type(name).alias("document_type")).groupBy("document_type").agg(F.count("*").alias("n"))
+    name = F.concat(F.when(F.col("p_size") % 2 == 0, F.lit("2024_")).otherwise(F.lit("scan")), F.when(F.col("p_size") % 3 == 0, F.upper(word)).otherwise(word), F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".pdf"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.document_type(name).alias("document_type"))
 
 
-DOC_CLASS = """with f as (select '2024_' || (['rechnung','mahnung','lease_2','addendum','kaufvertrag','permit','survey','brief'])[p_partkey % 8 + 1] || '-' || p_partkey || '.pdf' as f from part)
-select case when regexp_matches(f, '(^|[_./-])(rechnung|invoice|inv-)') then 'invoice' when regexp_matches(f, '(^|[_./-])mahnung') then 'mahnung' when regexp_matches(f, '(^|[_./-])(mietvertrag|lease)') then 'lease'
-  when regexp_matches(f, '(^|[_./-])(addendum|nachtrag)') then 'lease_addendum' when regexp_matches(f, '(^|[_./-])(kaufvertrag|sale|deed)') then 'kaufvertrag' when regexp_matches(f, '(^|[_./-])(baugenehmigung|permit|structural)') then 'structural_permit'
-  when regexp_matches(f, '(^|[_./-])(vermessung|survey|protokoll)') then 'vermessungsprotokoll' else 'other' end as document_type, count(*) as n from f group by 1"""
+KINDS_OF_FILES = ("rechnung", "mahnung", "lease_2", "lease_addendum", "addendum", "kaufvertrag", "permit", "survey", "brief", "inv-", "mietvertrag_nachtrag", "deed", "protokoll")
+DOC_CLASS = f"""with f as (select p_partkey, lower(case when p_size % 2 = 0 then '2024_' else 'scan' end || ({list(KINDS_OF_FILES)})[p_partkey % {len(KINDS_OF_FILES)} + 1] || '-' || p_partkey || '.pdf') as f from part)
+select p_partkey, case when regexp_matches(f, '(^|[_./-])(rechnung|invoice|inv-)') then 'invoice' when regexp_matches(f, '(^|[_./-])mahnung') then 'mahnung'
+  when regexp_matches(replace(f, 'lease_addendum', 'x_addendum'), '(^|[_./-])(mietvertrag|lease)') then 'lease' when regexp_matches(f, '(^|[_./-])(addendum|nachtrag|mietvertrag.*nachtrag)') then 'lease_addendum'
+  when regexp_matches(f, '(^|[_./-])(kaufvertrag|sale|deed)') then 'kaufvertrag' when regexp_matches(f, '(^|[_./-])(baugenehmigung|permit|structural)') then 'structural_permit'
+  when regexp_matches(f, '(^|[_./-])(vermessung|survey|protokoll)') then 'vermessungsprotokoll' else 'other' end as document_type from f"""
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The topic and its fact for short notes made of part types, counted."""
-    notes = ("heater broken", "water leak", "lost key", "window seal", "lease renewal", "new tenant", "rent overdue", "fire safety", "complaint", "hello")
-    note = F.element_at(F.array(*map(F.lit, notes)), (F.col("p_partkey") % len(notes)).cast("int") + 1)
-    named = table(spark, sf_dir, "part").select(text.topic(note, F.lit("en")).alias("topic"))
+    """The topic and its fact for notes that join two phrases: the first topic in the list's order wins."""
+    phrase = lambda n: F.element_at(F.array(*map(F.lit, NOTES)), (n % len(NOTES)).cast("int") + 1)
+    note = F.concat_ws(" and ", phrase(F.col("p_partkey")), F.when(F.col("p_size") % 2 == 0, F.upper(phrase(F.col("p_size")))))
+    named = table(spark, sf_dir, "part").select("p_partkey", text.topic(note, F.lit("en")).alias("topic"))
     field = text.first_label([(F.col("topic") == t, f) for t, (*_, f) in text.TOPIC_FACTS.items()])
     priority = text.first_label([(F.col("topic") == t, p) for t, (_, p, *_) in text.TOPIC_FACTS.items()], "low")
-    return named.groupBy("topic").agg(F.count("*").alias("n")).select("topic", field.alias("field"), priority.alias("priority"), "n")
+    return named.select("p_partkey", "topic", field.alias("field"), priority.alias("priority"))
 
 
-TOPICS = """select topic, field, priority, (select count(*) from part where p_partkey % 10 = k) as n from (values
- (0, 'heating', 'open_heating_issue', 'high'), (1, 'water', 'open_water_leak', 'urgent'), (2, 'key_loss', 'key_lost', 'medium'), (3, 'window_door', 'defective_window', 'medium'), (4, 'lease', 'renewal_discussion', 'medium'),
- (5, 'tenant_change', 'termination_notice', 'medium'), (6, 'payment', 'payment_mention', 'medium'), (7, 'compliance', 'regulatory_mention', 'medium'), (8, 'complaint', 'noise_complaint', 'medium'), (9, null, null, 'low')) t(k, topic, field, priority)"""
+NOTES = ("heater broken", "water leak", "lost key", "window seal", "lease renewal", "new tenant", "rent overdue", "fire safety", "complaint", "hello")
+TOPICS = """with t(k, rank, topic, field, priority) as (values (0, 4, 'heating', 'open_heating_issue', 'high'), (1, 5, 'water', 'open_water_leak', 'urgent'), (2, 6, 'key_loss', 'key_lost', 'medium'), (3, 7, 'window_door', 'defective_window', 'medium'),
+ (4, 3, 'lease', 'renewal_discussion', 'medium'), (5, 2, 'tenant_change', 'termination_notice', 'medium'), (6, 10, 'payment', 'payment_mention', 'medium'), (7, 8, 'compliance', 'regulatory_mention', 'medium'), (8, 9, 'complaint', 'noise_complaint', 'medium'), (9, 99, null, null, 'low')),
+m as (select p_partkey, p_partkey % 10 as k from part union all select p_partkey, p_size % 10 from part where p_size % 2 = 0),
+w as (select p_partkey, min(rank) as rank from m join t using (k) group by 1)
+select p_partkey, topic, field, priority from w join t using (rank)"""
 
 
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
