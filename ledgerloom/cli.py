@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import relate, render
-from ledgerloom.sources import files, tables
+from ledgerloom.sources import files, scratch, tables
 
 
 def append_events(spark: SparkSession, events: DataFrame, log: str) -> None:
     """Append the events whose (source, source_ref) the log lacks."""
-    if tables.there(spark, log):
+    if scratch.there(spark, log):
         events = relate.insert_new(spark.read.parquet(log).select("source", "source_ref"), events, ["source", "source_ref"], [F.asc("received_at")])
     else:
         events = relate.first_per_key(events, ["source", "source_ref"], [F.asc("received_at")])

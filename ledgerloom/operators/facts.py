@@ -38,7 +38,7 @@ def supersede_runs(log: DataFrame, key: Sequence[str], value: str, order: Sequen
 
 def fold(
     log: DataFrame, key: Sequence[str], order: Sequence[str], value: str = "value", rank: str = "rank", confidence: str = "confidence",
-    human: str | None = None,
+    human: str | None = None, state: DataFrame | None = None,
 ) -> DataFrame:
     """The current fact of each key after replacing in ``order``: (*key, value, rank, confidence, last order columns, n_versions, n_inputs).
 
@@ -49,18 +49,28 @@ def fold(
     ``confidence`` is an integer of hundredths. A hot key's rows are first thinned
     out losslessly: a row equal in value, rank and confidence to the row before it
     can't change anything.
+
+    ``state``: what an earlier fold gave for some keys, whose rows in ``log`` all come
+    after those it saw; their fold goes on from there. ``human`` isn't kept in it.
     """
+    if state is not None:
+        mine = {c: state[c] for c in (*key, *order, value, rank, confidence)}
+        log = log.select(*mine).withColumn("__versions", F.lit(None).cast("long")).withColumn("__inputs", F.lit(1).cast("long")).unionByName(
+            state.select(*mine, F.col("n_versions").alias("__versions"), F.col("n_inputs").alias("__inputs"))
+        )
+    else:
+        log = log.withColumn("__versions", F.lit(None).cast("long")).withColumn("__inputs", F.lit(1).cast("long"))
     by = Window.partitionBy(*key).orderBy(*order)
     touched = F.col(human) if human else F.lit(False)
     same = F.lit(True)
     for c in (F.trim(F.col(value)), F.col(rank), F.col(confidence), touched):
         same = same & c.eqNullSafe(F.lag(c).over(by))
-    thin = log.withColumn("__same", same & (F.row_number().over(by) > 1)).withColumn("__n", F.count("*").over(Window.partitionBy(*key)))
+    thin = log.withColumn("__same", same & (F.row_number().over(by) > 1)).withColumns({"__n": F.sum("__inputs").over(Window.partitionBy(*key)), "__v": F.max("__versions").over(Window.partitionBy(*key))})
     row = F.struct(
         *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.col(value).alias("value"), F.trim(F.col(value)).alias("bare"),
         F.col(rank).cast("int").alias("rank"), F.col(confidence).cast("int").alias("confidence"), touched.alias("human"),
     )
-    lists = thin.where(~F.col("__same")).groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("__n").alias("n_inputs"))
+    lists = thin.where(~F.col("__same")).groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("__n").alias("n_inputs"), F.max("__v").cast("int").alias("__v"))
 
     def step(state: Column, new: Column) -> Column:
         cur = state.cur
@@ -71,7 +81,7 @@ def fold(
         ) & ~new.human
         return F.when(keep, state).otherwise(F.struct(new.alias("cur"), (state.versions + 1).alias("versions")))
 
-    start = F.struct(F.element_at("rows", 1).alias("cur"), F.lit(1).alias("versions"))
+    start = F.struct(F.element_at("rows", 1).alias("cur"), F.coalesce("__v", F.lit(1)).alias("versions"))
     done = lists.withColumn("__state", F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), start, step))
     return done.select(
         *key, F.col("__state.cur.value").alias(value), F.col("__state.cur.rank").alias(rank), F.col("__state.cur.confidence").alias(confidence),

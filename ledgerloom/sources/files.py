@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import redact, text
-from ledgerloom.sources import schemas, tables
+from ledgerloom.sources import schemas, scratch, tables
 
 FORWARD = r"(?i)^\s*(fwd|fw|wg)\s*:"
 INNER_FROM = r"(?im)^\s*(?:from|von)\s*:\s*(.+)$"
@@ -39,7 +39,7 @@ def mails(spark: SparkSession, root: str) -> DataFrame:
 
     The time is the Date header's, else the one in the file name, else the file's.
     """
-    if not tables.there(spark, root):
+    if not scratch.there(spark, root):
         return spark.createDataFrame([], schemas.EVENT)
 
     def read(batches):
@@ -69,7 +69,7 @@ def mails(spark: SparkSession, root: str) -> DataFrame:
 
 def scans(spark: SparkSession, root: str, source: str) -> DataFrame:
     """Every PDF below ``root`` as an event of its name, hash and size; the text is left to a reader of the bytes."""
-    if not tables.there(spark, root):
+    if not scratch.there(spark, root):
         return spark.createDataFrame([], schemas.EVENT)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(root)
     name = F.element_at(F.split("path", "/"), -1)
@@ -85,7 +85,7 @@ def scans(spark: SparkSession, root: str, source: str) -> DataFrame:
 
 def index_rows(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Events from an index list (a column ``filename`` and any others), no file opened."""
-    if not tables.there(spark, path):
+    if not scratch.there(spark, path):
         return spark.createDataFrame([], schemas.EVENT)
     rows = spark.read.csv(path, header=True)
     kind = text.document_type(F.col("filename"))

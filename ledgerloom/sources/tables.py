@@ -7,19 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import redact, text
 from ledgerloom.operators import relate
-from ledgerloom.sources import schemas
-
-
-def there(spark: SparkSession, path: str) -> bool:
-    """Whether Hadoop's file system has the path (also as a pattern)."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
-    return found is not None and len(found) > 0
+from ledgerloom.sources import schemas, scratch
 
 
 def bank_rows(spark: SparkSession, path: str) -> DataFrame:
     """Bank rows as events: signed amount, references from the purpose, scrubbed text, a stable reference."""
-    if not there(spark, path):
+    if not scratch.there(spark, path):
         return spark.createDataFrame([], schemas.EVENT)
     rows = spark.read.schema(schemas.BANK).csv(path, header=True)
     amount = text.amount(F.col("betrag"))
@@ -45,7 +38,7 @@ def master_csv(spark: SparkSession, path: str, columns: dict[str, str], delimite
 
     ``columns`` maps the file's names to ours; the one named ``id`` is the key, rows without it are left out.
     """
-    if not there(spark, path):
+    if not scratch.there(spark, path):
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in ["natural_key", *columns.values()]) + ", metadata map<string,string>")
     rows = spark.read.csv(path, header=True, sep=delimiter)
     hide = {"email": redact.email_redact, "telefon": redact.phone_last4, "phone": redact.phone_last4, "iban": redact.iban_last4}

@@ -1,4 +1,4 @@
-"""The event log as a stream: each event once, and only the facts of touched keys folded anew."""
+"""The event log as a stream: each event once, and only the facts of touched keys folded on."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ledgerloom.operators import facts, relate
+from ledgerloom.sources import scratch
 
 KEY = ("scope", "section", "field")
 ORDER = ("ts", "event_id")
@@ -26,13 +27,21 @@ def once(stream: DataFrame, key: list[str], at: str, late: str = "7 days") -> Da
 def append_and_fold(stream: DataFrame, log: str, current: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Append proposals to ``log`` and keep ``current`` facts, folding in event order the keys that a batch touches.
 
-    Files can arrive out of order, and the fold depends on it, so touched keys are
-    folded from the whole log, which is partitioned by a hash of the key; others are
-    left alone. Both tables are partitioned by that bucket and a batch replaces only
+    ``current`` also holds the last event that each key's fold has seen. A key whose new
+    events all come after it goes on from its fact. Files can arrive out of order, and
+    the fold depends on it, so a key with an earlier event (or one seen before) is folded
+    from the log again. Both tables are partitioned by a hash of the key, and a batch replaces only
     its buckets' files, so a batch that is run again after a failure gives the same.
+    ``buckets`` is for the life of the tables: choose it so that a bucket's current facts fit a task.
     """
     spark = stream.sparkSession
     bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
+    last = F.max(F.struct(*ORDER))
+
+    def same_key(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+        marks = b.select(*(F.col(k).alias(f"__{k}") for k in KEY), *(c for c in b.columns if c not in KEY))
+        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEY]
+        return a.join(marks, on, how).drop(*(f"__{k}" for k in KEY))
 
     def fold(batch: DataFrame, number: int) -> None:
         batch = batch.withColumn("bucket", bucket)
@@ -41,9 +50,28 @@ def append_and_fold(stream: DataFrame, log: str, current: str, checkpoint: str,
             return
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(log)
         rows = spark.read.parquet(log).where(F.col("bucket").isin(touched))
-        first = relate.first_per_key(rows, ["event_id"], [F.asc("ts"), F.asc("batch")])
-        folded = facts.fold(first, list(KEY), list(ORDER)).withColumn("bucket", bucket)
-        folded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(current)
+        new = rows.where(F.col("batch") == number)
+        keys = new.groupBy(*KEY).agg(F.min(F.struct(*ORDER)).alias("__first"))
+        if scratch.there(spark, f"{current}/bucket=*"):
+            facts_now = spark.read.parquet(current).where(F.col("bucket").isin(touched))
+            late = same_key(keys, facts_now.select(*KEY, F.col("seen").alias("__seen")), "inner").where("__first <= __seen").select(*KEY)
+        else:
+            facts_now, late = None, keys.limit(0).select(*KEY)
+
+        def folded(events: DataFrame, state: DataFrame | None) -> DataFrame:
+            once = relate.first_per_key(events, ["event_id"], [F.asc("ts"), F.asc("batch")])
+            ends = once.groupBy(*KEY).agg(last.alias("seen"))
+            return same_key(facts.fold(once, list(KEY), list(ORDER), state=state), ends, "inner")
+
+        again = folded(same_key(rows, late, "left_semi"), None)
+        ahead = same_key(new, late, "left_anti")
+        if facts_now is None:
+            out = folded(ahead, None)
+        else:
+            state = same_key(same_key(facts_now, keys.select(*KEY), "left_semi"), late, "left_anti")
+            out = again.unionByName(folded(ahead, state)).unionByName(same_key(facts_now, keys.select(*KEY), "left_anti").drop("bucket"))
+        stored = out.withColumn("bucket", bucket)
+        stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(current)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
