@@ -12,9 +12,9 @@ sorting. From the common prefixes of neighbours follows, for each offset of the
 anchor in the window, which windows are equal: those in the same class on both
 sides. Hashes only choose who meets; bytes decide.
 
-A gram with over ``HOT`` occurrences does not meet in one task: its equal contexts
-are counted where they are read, and the windows of the distinct ones are grouped
-one by one by their 128-bit digests. Documents with equal texts stand as one text;
+A gram with over ``HOT`` occurrences does not meet in one task, and isn't sorted: its equal
+contexts are counted where they are read, and the windows of the distinct ones are
+grouped by Spark, by their bytes. Documents with equal texts stand as one text;
 a copied text of 200 bytes or more goes entirely.
 """
 
@@ -209,17 +209,18 @@ def _meet(length: int):
 
 
 def _hot_windows(hot: DataFrame, length: int) -> DataFrame:
-    """(digest, start, number) of the repeated windows of grams with very many occurrences."""
-    cid = F.xxhash64("h", "delta", "context")
-    seen = store.keep(hot.groupBy("h", "delta", "count", "context").agg(F.count("*").alias("n")).withColumn("cid", cid), "hot-contexts")
-    windows = seen.select("cid", "n", "context", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("s")).select(
-        "cid", "n", "s", F.unhex(F.md5(F.expr(f"substring(context, s + 1, {length})"))).alias("w")
+    """(digest, start, number) of the repeated windows of grams with very many occurrences, by the windows' own bytes."""
+    context = ["h", "delta", "count", "context"]
+    seen = store.keep(hot.groupBy(*context).agg(F.count("*").alias("n")), "hot-contexts")
+    windows = seen.select(*context, "n", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("s")).withColumn(
+        "w", F.expr(f"substring(context, s + 1, {length})")
+    )
+    again = windows.groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 1").select("h", "w")
+    found = store.keep(windows.join(again, ["h", "w"], "left_semi").groupBy(*context).agg(F.collect_list("s").alias("s")), "hot-windows")
+    # both sides are stored, so that Spark can split the join at a context with very many copies
+    return hot.join(found, context).select("digest", F.explode("s").alias("s"), "first").select(
+        "digest", (F.col("first") + F.col("s")).cast("int").alias("start"), F.lit(1).alias("number")
     )
-    again = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
-    found = windows.join(again, "w", "left_semi").groupBy("cid").agg(F.collect_list("s").alias("s"))
-    return hot.select("digest", "first", cid.alias("cid")).join(found, "cid").select(
-        "digest", F.explode("s").alias("s"), "first"
-    ).select("digest", (F.col("first") + F.col("s")).cast("int").alias("start"), F.lit(1).alias("number"))
 
 
 def _cut(length: int):

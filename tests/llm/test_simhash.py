@@ -71,8 +71,12 @@ def test_whole_table(spark):
     assert out == expected(rows)
 
 
-@pytest.mark.parametrize("chunk", [hamming.CHUNK, 16])
-def test_links_find_all_components(spark, monkeypatch, chunk):
+def test_blocks_grow_with_the_rows():
+    assert [hamming.blocks_for(n) for n in (0, 10**6, 10**10, 10**12, 10**15)] == [5, 5, 6, 7, 8]
+
+
+@pytest.mark.parametrize("chunk, blocks", [(hamming.CHUNK, None), (16, None), (16, 7)])
+def test_links_find_all_components(spark, monkeypatch, chunk, blocks):
     monkeypatch.setattr(hamming, "CHUNK", chunk)
     rng = np.random.default_rng(1)
     fps = set(rng.integers(0, 2**63, 200, dtype=np.uint64).tolist())
@@ -85,7 +89,7 @@ def test_links_find_all_components(spark, monkeypatch, chunk):
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
     roots = slow_components(signed, lambda a, b: ((a ^ b) % 2**64).bit_count() <= 3)
-    found = {r.node: r.root for r in components.components(hamming.near_links(df)).collect()}
+    found = {r.node: r.root for r in components.components(hamming.near_links(df, blocks=blocks)).collect()}
     assert {n: found.get(n, n) for n in signed} == roots
 
 
