@@ -63,7 +63,7 @@ def scrub_mail_and_iban(col: Column) -> Column:
     """Account numbers and mail addresses in free text, in that order."""
     for pattern in (IBAN_DE, IBAN_OTHER):
         col = _replaced(col, pattern, lambda hit: F.concat(F.lit("****"), F.right(hit, F.lit(4))))
-    return F.regexp_replace(col, EMAIL, "$1" + EMAIL_DOMAIN)
+    return F.when(F.contains(col, F.lit("@")), F.regexp_replace(col, EMAIL, "$1" + EMAIL_DOMAIN)).otherwise(col)
 
 
 def scrub_text(col: Column) -> Column:
