@@ -60,6 +60,15 @@ TOPIC_FACTS = {
     "complaint": ("maintenance", "medium", "maintenance", "noise_complaint"),
     "compliance": ("compliance", "medium", "compliance", "regulatory_mention"),
 }
+#: Frequent words by language; a text's language has most of them, the first of equals.
+LANGUAGE_WORDS = {
+    "en": ("the", "and", "of", "to", "in", "is", "that", "it", "for", "was", "with", "be", "on", "this", "are"),
+    "de": ("der", "die", "und", "das", "ist", "nicht", "ein", "eine", "zu", "mit", "von", "für", "auf", "den", "im", "sich", "des"),
+    "nl": ("het", "een", "van", "niet", "dat", "op", "te", "voor", "met", "zijn", "aan", "wij"),
+    "fr": ("le", "la", "les", "et", "des", "est", "une", "que", "pour", "dans", "du", "pas", "avec"),
+    "es": ("el", "los", "las", "y", "que", "en", "una", "por", "con", "para", "se", "del", "como"),
+}
+LEAST_CHARS = 30
 ACTIVE_DAYS, RECENT_DAYS = 90, 365
 SHORT_BODY = 50
 
@@ -120,6 +129,24 @@ def topic(col: Column, lang: Column) -> Column:
     return first_label([(col.rlike(any_word(f"{de}|{en}")), name) for name, de, en in TOPICS])
 
 
+def _count_in(words: Column, known: Sequence[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*known)))
+
+
+def raw_language(col: Column) -> Column:
+    """The language whose frequent words a text has most of; unknown for a short text or one without any."""
+    words = F.split(F.regexp_replace(F.lower(col), r"[\s.,;:!?()\"]+", " "), " ")
+    counts = F.array(*(_count_in(words, own) for own in LANGUAGE_WORDS.values()))
+    most = F.array_max(counts)
+    best = F.element_at(F.array(*map(F.lit, LANGUAGE_WORDS)), F.array_position(counts, most).cast("int"))
+    return F.when(F.coalesce(F.length(F.trim(col)), F.lit(0)) < LEAST_CHARS, "unknown").when(most == 0, "unknown").otherwise(best)
+
+
+def language(col: Column) -> Column:
+    """de for German and its neighbours, en for all else."""
+    return F.when(raw_language(col).isin("de", "nl", "af"), "de").otherwise("en")
+
+
 def strip_signature(col: Column) -> Column:
     """The text before the first signature mark, trimmed."""
     ends = [F.nullif(F.instr(col, m), F.lit(0)) for m in SIGNATURES]

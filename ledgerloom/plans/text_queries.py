@@ -192,10 +192,21 @@ select doc_id, case when length(b) < 50 then 'body_too_short' when regexp_matche
   when domain is not null then 'no_signal_known_sender' else 'no_signal' end as reason from m"""
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document's text by its frequent words, raw and as drafts take it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", text.raw_language(F.col("text")).alias("raw"), text.language(F.col("text")).alias("draft"))
+
+
+_COUNTS = ", ".join(f"len(list_filter(w, lambda x: x in {own}))" for own in text.LANGUAGE_WORDS.values())
+LANGUAGES = f"""with t as (select doc_id, text, string_split(regexp_replace(lower(text), '[\\s.,;:!?()"]+', ' ', 'g'), ' ') as w from documents),
+c as (select doc_id, text, [{_COUNTS}] as n from t), r as (select doc_id, case when length(trim(coalesce(text, ''))) < 30 or list_max(n) = 0 then 'unknown' else ({list(text.LANGUAGE_WORDS)})[list_position(n, list_max(n))] end as raw from c)
+select doc_id, raw, case when raw in ('de', 'nl', 'af') then 'de' else 'en' end as draft from r"""
+
 _NAMES = {
     "i3_scrubbed_mail": (scrubbed, SCRUBBED), "i4_scrub_all": (scrub_all, SCRUB_ALL), "i18_doc_class": (doc_class, DOC_CLASS), "i19_topics": (topics, TOPICS), "d17_token_overlap": (token_overlap, TOKENS),
     "d16_alias_contains": (alias_contains, ALIAS), "k3_routed": (routed, ROUTED), "i23_signatures": (signatures, SIGNATURES), "a9_thread_stats": (thread_stats, THREADS),
-    "i16_hash_keys": (hash_keys, HASH_KEYS), "i10_parsed_values": (parsed_values, PARSED), "i24_unrouted": (unrouted, UNROUTED),
+    "i16_hash_keys": (hash_keys, HASH_KEYS), "i10_parsed_values": (parsed_values, PARSED), "i24_unrouted": (unrouted, UNROUTED), "i21_languages": (languages, LANGUAGES),
 }
 QUERIES = {k: q for k, (q, _) in _NAMES.items()}
 ORACLES = {k: s for k, (_, s) in _NAMES.items() if s}

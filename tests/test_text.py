@@ -46,3 +46,11 @@ def test_texts(spark):
         (text.unrouted_reason(x, F.lit(""), F.lit(None).cast("string"), F.lit("fr"), F.array(F.lit("c.de"))), "lang " * 20, "non_de_en_language_fr"),
     ]:
         assert one(spark, expr, value) == want, (value, want)
+
+
+def test_language_against_the_column(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 300")
+    right = d.select((text.raw_language(F.col("text")) == F.col("lang")).alias("r")).agg(F.avg(F.col("r").cast("int"))).first()[0]
+    assert right > 0.95
+    short = spark.createDataFrame([("kurz",), (None,), ("het huis is niet van mij en dat weet je wel",)], "t string").select(text.raw_language(F.col("t")), text.language(F.col("t"))).collect()
+    assert [tuple(r) for r in short] == [("unknown", "en"), ("unknown", "en"), ("nl", "de")]
