@@ -39,7 +39,7 @@ def test_one_more_shard_moves_few(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"))
     a = {r.doc_id: r.shard for r in sharding.bounded_ring(df, shards=10).collect()}
     b = {r.doc_id: r.shard for r in sharding.bounded_ring(df, shards=11).collect()}
-    assert sum(a[k] != b[k] for k in a) < 0.3 * len(a)
+    assert sum(a[k] != b[k] for k in a) < 0.14 * len(a)  # 1 in 11 at least
 
 
 def test_hard_rows(spark):
