@@ -62,3 +62,14 @@ def test_cascade_takes_the_widest_trigger(spark):
     changed = spark.createDataFrame([("unit", 1), ("building", 10), ("association", 200)], "scope string, id int")
     got = {(r.scope, r.id): r.trigger for r in render.stale_keys(changed, units, buildings).collect()}
     assert got == {("unit", 1): "building", ("unit", 2): "building", ("building", 10): "building", ("association", 200): "association", ("building", 20): "association", ("unit", 3): "association"}
+
+
+def test_extractors_fall_through(spark):
+    """What a first extractor leaves without a category goes to the next, and to the rules at last."""
+    events = spark.createDataFrame([(1, "email", "alpha", "en"), (2, "email", "beta", "en"), (3, "email", "Heater broken", "en")], "event_id int, source string, raw_content string, lang string")
+
+    def knows(word):
+        return lambda e: e.withColumn("category", F.when(F.lower("raw_content") == word, word))
+
+    got = {r.event_id: r.category for r in extract.extract(events, [knows("alpha"), knows("beta"), extract.by_rules]).collect()}
+    assert got == {1: "alpha", 2: "beta", 3: "maintenance"}
