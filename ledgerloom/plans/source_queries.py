@@ -9,6 +9,7 @@ from ledgerloom.functions import redact, text
 from ledgerloom.operators import relate
 from ledgerloom.plans.tables import table
 from ledgerloom.sources import files, scratch, tables, webhook
+from ledgerloom.streaming import log
 
 
 def _as_text(*parts: Column | str) -> Column:
@@ -201,9 +202,19 @@ def global_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 GLOBAL = """select o_orderkey, o_orderstatus as status, case when length(c_name) > 12 then rtrim(c_name[1:11]) || '…' else c_name end as name from orders left join (select * from customer where c_acctbal > 0) on c_custkey = o_custkey
 where o_orderstatus <> 'F' order by o_orderdate desc, o_orderkey desc limit 50"""
 
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two kinds of events of two days, played again 60 times as fast: when each is due."""
+    e = table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("received_at"), F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("source_ref"))
+    return log.replay(e, "2024-01-10", "2024-01-12", ["view", "purchase"], 60.0).select("source", "source_ref", F.round("due_seconds", 3).alias("due_seconds"))
+
+
+REPLAYED = """select event_type as source, event_id::varchar as source_ref, round((epoch_us(ts) - epoch_us(timestamp '2024-01-10')) / 1e6 / 60.0, 3) as due_seconds
+  from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12' and event_type in ('view', 'purchase')"""
+
 _NAMES = {
     "a3_bank_events": (bank_events, BANK), "a4_master_records": (master_records, MASTER), "a6_master_units": (master_units, UNITS), "a16_erp_payments": (erp_payments, PAYMENTS), "a13_index_list": (index_list, INDEX),
-    "a18_signed_requests": (signed_requests, SIGNED), "i1_redacted": (redacted, REDACTED), "k37_rejected": (rejected_inbox, REJECTED), "k37_uncertain": (uncertain_inbox, UNCERTAIN), "k37_unrouted": (unrouted_inbox, UNROUTED), "k37_global": (global_inbox, GLOBAL),
+    "a18_signed_requests": (signed_requests, SIGNED), "i1_redacted": (redacted, REDACTED), "k37_rejected": (rejected_inbox, REJECTED), "k37_uncertain": (uncertain_inbox, UNCERTAIN), "k37_unrouted": (unrouted_inbox, UNROUTED), "k37_global": (global_inbox, GLOBAL), "j8_replayed": (replayed, REPLAYED),
 }
 QUERIES = {k: q for k, (q, _) in _NAMES.items()}
 ORACLES = {k: s for k, (_, s) in _NAMES.items()}

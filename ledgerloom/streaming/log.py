@@ -76,12 +76,14 @@ def append_and_fold(stream: DataFrame, log: str, current: str, checkpoint: str,
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replay(events: DataFrame, start: str, end: str, sources: list[str] | None = None) -> DataFrame:
-    """The events of a window in the order in which they are to be played again."""
-    rows = events.where((F.col("received_at") >= F.lit(start).cast("timestamp")) & (F.col("received_at") < F.lit(end).cast("timestamp")))
+def replay(events: DataFrame, start: str, end: str, sources: list[str] | None = None, speed: float = 1.0) -> DataFrame:
+    """The events of a window in the order in which they are to be played again, and after how many seconds of play at that ``speed``."""
+    began = F.lit(start).cast("timestamp")
+    rows = events.where((F.col("received_at") >= began) & (F.col("received_at") < F.lit(end).cast("timestamp")))
     if sources:
         rows = rows.where(F.col("source").isin(*sources))
-    return rows.orderBy("received_at", "source", "source_ref")
+    due = (F.unix_micros("received_at") - F.unix_micros(began)) / 1e6 / speed
+    return rows.withColumn("due_seconds", due).orderBy("received_at", "source", "source_ref")
 
 
 def pauses(df: DataFrame, col: str = "pauses") -> DataFrame:
