@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import centroids, decontaminate, fill_middle, line_dedup, packing, pii, preference, quality, sharding, simhash, suffix_dedup, token_files
+from ledgerloom.llm import centroids, decontaminate, fill_middle, line_dedup, ngram_join, packing, pii, preference, quality, sharding, simhash, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pack_shortest_first": packing.op8_packing,
         "op9_suffix_deep_shallow": suffix_dedup.op9_suffix_dedup,
         "op10_simhash_pivots": simhash.op10_simhash,
+        "op11_ngram_fragments": ngram_join.op11_ngram_fragments,
         "op12_kdtree_clusters": centroids.op12_kdtree_clusters,
         "op13_fill_middle": fill_middle.op13_fill_middle,
     }
