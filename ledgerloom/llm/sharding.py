@@ -80,7 +80,8 @@ def bounded_ring(
     counts are at most one apart. ``ties`` orders rows of an equal key.
 
     Nulls: a null key is a key like any other. Repeated rows: each is placed.
-    Empty table: no rows. Columns named shard or slot in ``df`` are replaced.
+    Empty table: no rows. Columns named shard or slot in ``df`` are replaced; names
+    that begin with two underscores are taken.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
@@ -89,11 +90,11 @@ def bounded_ring(
 
     def arcs_of(rows: DataFrame) -> DataFrame:
         at = rows.withColumn("__cell", F.shiftright("__h", 64 - CELL_BITS).cast("int"))
-        cells = F.broadcast(_cells(nodes).withColumnRenamed("cell", "__cell"))  # 2**CELL_BITS rows
+        cells = F.broadcast(_cells(nodes).toDF("__cell", "__here", "__behind"))  # 2**CELL_BITS rows
         return at.join(cells, "__cell").withColumn(
             "__arc",
-            F.coalesce(F.expr("get(filter(here, x -> x.pos >= __h), 0).arc"), F.col("behind")),
-        ).drop("__cell", "here", "behind")
+            F.coalesce(F.expr("get(filter(__here, x -> x.pos >= __h), 0).arc"), F.col("__behind")),
+        ).drop("__cell", "__here", "__behind")
 
     counts = arcs_of(hashed.select("__h")).groupBy(F.col("__arc").alias("arc")).agg(F.count("*").alias("n"))
     table = (
@@ -107,14 +108,14 @@ def bounded_ring(
     else:
         caps = F.expr(f"transform(sequence(0, {shards - 1}), s -> cast(ceil({load_factor}D * total / {shards}) as bigint))")
     quotas = table.withColumn("caps", caps).select(F.explode(F.expr(_FOLD)).alias("q")).select(
-        F.col("q.arc").alias("__arc"), F.col("q.shard").alias("shard"), "q.lo", "q.hi", "q.slot0"
+        F.col("q.arc").alias("__arc"), F.col("q.shard").alias("__shard"), F.col("q.lo").alias("__lo"), F.col("q.hi").alias("__hi"), F.col("q.slot0").alias("__slot0")
     )  # shards * vnodes arcs, each with at most `shards` quotas
     order = Window.partitionBy("__arc").orderBy("__h", key, *ties)
     ranked = arcs_of(hashed).withColumn("__rank", F.row_number().over(order) - 1)
-    hit = (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi"))
+    hit = (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi"))
     placed = ranked.join(F.broadcast(quotas), "__arc").where(hit)
     return placed.select(
-        *df.columns, F.col("shard"), (F.col("slot0") + F.col("__rank") - F.col("lo")).cast("long").alias("slot")
+        *df.columns, F.col("__shard").alias("shard"), (F.col("__slot0") + F.col("__rank") - F.col("__lo")).cast("long").alias("slot")
     )
 
 

@@ -53,6 +53,16 @@ def test_hard_rows(spark):
     assert sharding.bounded_ring(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["lo", "hi", "here", "behind", "slot0", "arc", "n", "t", "q", "pos", "cell", "caps", "total", "ring", "SLOT", "Shard", "first", "arcs"])
+def test_any_other_column(spark, name):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(30)], f"doc_id long, {name} string")
+    out = sharding.bounded_ring(df, shards=3, vnodes=4)
+    assert out.columns == ["doc_id", *([] if name.lower() in ("shard", "slot") else [name]), "shard", "slot"]
+    rows = out.collect()
+    assert sorted(Counter(r["shard"] for r in rows).values()) == [10, 10, 10]
+    assert name.lower() in ("shard", "slot") or all(r[name] == f"v{r['doc_id']}" for r in rows)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
