@@ -65,9 +65,9 @@ def write_tokens(
     ordered.mapInArrow(run, f"doc_id {kind}, place bigint, tokens array<int>").write.options(**ORC).orc(path)
 
 
-def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """(doc_id, place, tokens, file) of the files; a filter on doc_id prunes by their metadata."""
-    rows = spark.read.schema(f"doc_id {id_type}, place bigint, tokens array<int>").orc(path)
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, place, tokens, file) of the files, ids of the type they have there; a filter on doc_id prunes by their metadata."""
+    rows = spark.read.orc(path)
     return rows.select("*", F.col("_metadata.file_name").alias("file"))
 
 
@@ -85,10 +85,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
                 ["doc_id", "place", "file", "n_tokens", "ids_crc32"],
             )
 
-    rows = store.keep(
-        read_tokens(spark, path).mapInArrow(run, "doc_id bigint, place bigint, file string, n_tokens bigint, ids_crc32 bigint"),
-        "token-index",
-    )
+    held = read_tokens(spark, path)
+    kind = held.schema["doc_id"].dataType.simpleString()
+    rows = store.keep(held.mapInArrow(run, f"doc_id {kind}, place bigint, file string, n_tokens bigint, ids_crc32 bigint"), "token-index")
     rows = rows.withColumn("task", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))  # a number: part-100000 is after part-99999
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     tasks = rows.groupBy("task").agg(F.sum("n_tokens").alias("n")).select(  # one row a task of the writing job

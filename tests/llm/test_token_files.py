@@ -1,5 +1,7 @@
 """ORC token files: exact round trip, order and metadata pruning."""
 
+from datetime import date, timedelta
+from decimal import Decimal
 from pathlib import Path
 from zlib import crc32
 
@@ -44,6 +46,17 @@ def test_hard_cases(spark):
     assert sorted(r.start for r in token_files.token_index(spark, path).collect()) == [0, 3]
 
 
+@pytest.mark.parametrize(("kind", "make"), [("string", "k{:03}".format), ("int", int), ("smallint", int), ("decimal(20,0)", Decimal), ("date", lambda i: date(2020, 1, 1) + timedelta(days=i))])
+def test_ids_of_any_type(spark, kind, make):
+    rows = [(make(i), f"text {i}") for i in range(25)] + [(None, "none")]
+    path = store.new_path(spark, "t")
+    token_files.write_tokens(spark.createDataFrame(rows, f"doc_id {kind}, text string"), path, PATH)
+    index = token_files.token_index(spark, path)
+    assert index.schema["doc_id"].dataType.simpleString() == kind
+    assert sorted((tuple(r) for r in index.collect()), key=lambda r: r[1]) == expected(rows)
+    assert token_files.read_tokens(spark, path).where(F.col("doc_id") == F.lit(make(7)).cast(kind)).count() == 1
+
+
 def test_pruning(spark):
     docs = spark.range(6000).select((F.col("id") * 10).alias("doc_id"), F.concat_ws(" ", F.lit("word"), "id").alias("text"))
     path = store.new_path(spark, "t")
