@@ -6,8 +6,9 @@ list of candidates: words with an ``@`` or a digit, numbers joined by blanks bei
 one. Each occurrence has two patterns: the two words before it, and its form (digits
 as 9, runs of letters as a). Patterns and identifiers make a graph that is scored
 in turns. A pattern's confidence in a kind is the sum of its distinct identifiers'
-scores in that kind for each known one, where a word pattern's unknown ones count
-``UNKNOWN`` each; a form pattern's don't, as they look just like its seeds. An unknown
+scores in that kind for each known one, where an unknown one counts ``UNKNOWN``; one that
+a kind's expression matches whole and its check rejects (a card number with a wrong
+check digit) counts in full against that kind's patterns and is never found as it. An unknown
 identifier's score is 1 - prod(1 - confidence) over its trusted patterns; one that
 reaches ``ACCEPT`` is found, keeps that kind and score, and supports patterns in the
 next turn. Turns end when one finds nothing. What is stored and joined are short
@@ -26,7 +27,7 @@ from ledgerloom.llm import store
 SUPPORT = 3  # distinct identifiers of a kind that a trusted pattern must have
 TRUST = 0.8  # confidence of a trusted pattern
 ACCEPT = 0.9  # score of a found identifier
-UNKNOWN = 1 / 3  # what an unknown identifier counts against a word pattern, where one of another kind counts 1
+UNKNOWN = 1 / 3  # what an unknown identifier counts against a pattern, where one of another kind counts 1
 SLACK = 1e-9  # for sums in another order
 BLOCK = 256  # running sums are made within blocks and over them, which keeps long texts near linear
 
@@ -106,6 +107,12 @@ def _right(kind: str, value: Column) -> Column:
     }.get(kind, F.lit(True))
 
 
+def _rejects(value: Column) -> Column:
+    """The kinds whose expression matches all of the value and whose check it fails."""
+    plain = {"ip": r"[0-9]++(?:\.[0-9]++){3}", "card": r"[0-9](?:[ -]?[0-9])++", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+    return F.array_compact(F.array(*(F.when(value.rlike(f"^(?:{e})$") & ~_right(k, value), k) for k, e in plain.items())))
+
+
 def _base(kind: str) -> Column:
     def spans(m: Column, ends: Column) -> Column:
         every = F.transform(m["hits"], lambda h, i: F.struct(
@@ -195,29 +202,32 @@ def _form(value: str) -> Column:
 
 def bootstrap(occurrences: DataFrame) -> DataFrame:
     """(value, kind, score) of the unknown values that are found, from (kind or null, value, words) occurrences."""
-    patterns = F.array(F.struct(F.concat(F.lit("words "), "words").alias("pattern"), F.lit(False).alias("form")),
-                       F.struct(_form("value").alias("pattern"), F.lit(True).alias("form")))
-    edges = occurrences.groupBy("value", "words").agg(F.max("kind").alias("kind")).select("value", "kind", F.explode(patterns).alias("x"))
-    edges = store.keep(edges.groupBy("x.pattern", "x.form", "value").agg(F.max("kind").alias("kind")), "edges")
+    patterns = F.array(F.concat(F.lit("words "), "words"), _form("value"))
+    edges = occurrences.groupBy("value", "words").agg(F.max("kind").alias("kind")).select("value", "kind", F.explode(patterns).alias("pattern"))
+    edges = store.keep(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
     seeds = edges.where("kind is not null").groupBy("value").agg(F.max("kind").alias("seed"))
     # only the patterns of some seed can ever be trusted by seeds, but a found value may lend its trust to others
-    graph = store.keep(edges.drop("kind").join(seeds, "value", "left"), "graph")
+    graph = edges.drop("kind").join(seeds, "value", "left")
+    graph = store.keep(graph.withColumn("rejects", F.when(F.col("seed").isNull(), _rejects(F.col("value"))).otherwise(F.array().cast("array<string>"))), "graph")
+    rejected = graph.select("pattern", F.explode("rejects").alias("kind")).groupBy("pattern", "kind").agg(F.count("*").alias("rejected"))
     totals = graph.groupBy("pattern").agg(F.count("*").alias("total"))
     found = store.keep(graph.sparkSession.createDataFrame([], "value string, kind string, score double"), "found")
     while True:
-        known = graph.where("seed is not null").select("pattern", "form", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-        known = known.unionByName(graph.where("seed is null").join(found, "value").select("pattern", "form", "kind", "score"))
-        sums = known.groupBy("pattern", "form", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("n"))
+        known = graph.where("seed is not null").select("pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("score"), "rejects")
+        known = known.unionByName(graph.where("seed is null").join(found, "value").select("pattern", "kind", "score", "rejects"))
+        sums = known.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("n"))
         whole = sums.groupBy("pattern").agg(F.sum("n").alias("known"))
-        unknown = F.when(F.col("form"), 0.0).otherwise(UNKNOWN) * (F.col("total") - F.col("known"))
-        share = F.col("sum") / (F.col("known") + unknown)
+        # of what a kind rejects, what has become another kind is among the known ones
+        other = known.select("pattern", F.explode("rejects").alias("kind")).groupBy("pattern", "kind").agg(F.count("*").alias("other"))
+        against = rejected.join(other, ["pattern", "kind"], "left").select("pattern", "kind", (F.col("rejected") - F.coalesce("other", F.lit(0))).alias("against"))
+        failing = F.coalesce("against", F.lit(0))
+        share = F.col("sum") / (F.col("known") + failing + UNKNOWN * (F.col("total") - F.col("known") - failing))
         trusted = (
-            sums.where(F.col("n") >= SUPPORT).join(whole, "pattern").join(totals, "pattern")
+            sums.where(F.col("n") >= SUPPORT).join(whole, "pattern").join(totals, "pattern").join(against, ["pattern", "kind"], "left")
             .select("pattern", "kind", F.least(share, F.lit(1 - 1e-9)).alias("confidence")).where(F.col("confidence") >= TRUST - SLACK)
         )
-        votes = graph.where("seed is null").join(found, "value", "left_anti").join(trusted, "pattern").groupBy("value", "kind").agg(
-            (1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score")
-        )
+        votes = graph.where("seed is null").join(found, "value", "left_anti").join(trusted, "pattern").where(~F.array_contains("rejects", F.col("kind")))
+        votes = votes.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
         best = votes.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", "b.kind", "b.score")
         new = store.keep(best.where(F.col("score") >= ACCEPT - SLACK), "new")
         if not new.take(1):
@@ -266,7 +276,7 @@ def extract_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digests of every document's spans of the four base kinds; secrets and the number of all spans follow."""
+    """Counts and digests of every document's spans of the four base kinds; the number of spans, and secrets with theirs, follow."""
     out = extract_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     secret = lambda x: x["kind"] == "secret"
     written = lambda c, which: F.array_join(
@@ -279,5 +289,5 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", *map(count, BASE_KINDS), F.sha2(written("base", lambda x: ~secret(x)), 256).alias("base_sha256"),
         written("spans", lambda x: ~secret(x)).alias("spans"), written("spans", secret).alias("secrets"),
-        F.size("spans").cast("long").alias("n_spans"),
+        F.size(F.filter("spans", lambda x: ~secret(x))).cast("long").alias("n_spans"), F.size(F.filter("spans", secret)).cast("long").alias("n_secrets"),
     )
