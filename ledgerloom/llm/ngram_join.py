@@ -10,7 +10,7 @@ into one segment a fragment. Everything is counted a fragment at a time and summ
    with none; what no other set shares is never moved again.
 2. The others meet under the rarest of their marked n-grams, as many as every partner
    must have one of (prefix filter). Meeting places with the same members are one.
-   At each place the sets, in order of size, make a chain of pairs.
+   At each place the sets, in order of size, make a shallow tree of pairs.
 3. For these pairs the partial overlaps of their segments are counted apart and summed.
 4. Where a place's sets still are in several components, its members meet once more, in
    pairs of chunks, and partial overlaps are counted for all pairs over components.
@@ -25,142 +25,196 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.llm import components, store
 from ledgerloom.llm.jaccard import shingles
 
 WIDTH, PERCENT = 4, 85
 POSTINGS = 1 << 22  # n-grams of a fragment, about
+BLOCK = 1 << 20  # n-grams of documents whose segments travel together
 CHAIN = 4096  # sets of a place that one window task orders
+LEVELS = 3  # of a place's tree
 CHUNK = 256  # sets of a place that meet others in one task
 BITS = 3  # of a hash: a pair's partial overlaps are counted apart in 2 ** BITS fragments
 BYTES = 6  # of a word with its space, about; decides the number of fragments only
 COLUMNS = 1 << 13  # n-grams whose partial overlaps are counted at once
-BATCH = 256  # texts whose sets are held at once
-
-
-def _least(n: Column | np.ndarray, percent: int):
-    """The overlap that a set of n must have with any partner."""
-    return (percent * n + 99) // 100 if isinstance(n, np.ndarray) else F.expr(f"cast(({percent} * n + 99) div 100 as int)")
 
 
 def _segments(docs: DataFrame, id_col: str, text_col: str, width: int, fragments: int) -> DataFrame:
-    """(part, id, node, n, grams): a row of each document (id and node set), and one of each of its segments (grams set)."""
+    """A row of each document (id set), and for each fragment one of the segments of a block of documents (grams set).
 
-    def rows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    A block is some documents of one task with about ``BLOCK`` n-grams, so rows stay few and large.
+    """
+    schema = T.StructType([
+        T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("row", T.IntegerType()), T.StructField("id", docs.schema[id_col].dataType),
+        T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("rows", "nodes", "sizes", "counts", "grams")),
+    ])
+    names = schema.names
+
+    def rows(block: int, ids: pa.Array, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        found = [shingles(t.as_py(), width) for t in part.column(1)]
-        nodes = [xxh3_128_digest(x.tobytes()) if len(x) else None for x in found]
+        k = len(found)
+        nodes = [xxh3_128_digest(x.tobytes()) if len(x) else b"" for x in found]
         size = np.array([len(x) for x in found], dtype=np.int64)
-        own = [pa.array(int.from_bytes(x[:4], "big") % fragments if x else at % fragments for at, x in enumerate(nodes)), part.column(0), pa.array(nodes, pa.binary()), pa.array(size, pa.int32()), pa.nulls(len(nodes), pa.binary())]
-        yield pa.RecordBatch.from_arrays([own[0].cast(pa.int32()), *own[1:]], names)
+        own = [pa.array(np.full(k, block % fragments, dtype=np.int32)), pa.array(np.full(k, block)), pa.array(np.arange(k, dtype=np.int32)), ids, pa.array([x or None for x in nodes], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(size.astype(np.int32)), *(pa.nulls(k, pa.binary()) for _ in range(5))], names)
         if not size.sum():
             return
         every = np.concatenate(found)
-        doc = np.repeat(np.arange(len(found)), size)
-        where = ((every >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)  # sets are sorted, so are their fragments
-        start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (where[1:] != where[:-1])]))
-        ends = np.append(start, len(every)).astype(np.int32) * 8
-        grams = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(every.astype("<u8"))])
-        at = doc[start]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(where[start].astype(np.int32)), pa.nulls(len(start), part.column(0).type), pa.array(nodes, pa.binary()).take(pa.array(at)),
-            pa.array(size[at].astype(np.int32)), grams,
-        ], names)
+        doc = np.repeat(np.arange(k, dtype=np.int32), size)
+        where = ((every >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(where, kind="stable")
+        every, doc, where = every[order], doc[order], where[order]
+        table = np.frombuffer(b"".join(x or bytes(16) for x in nodes), dtype="V16")
+        bounds = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            start = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
+            at = doc[a:b][start]
+            blobs = [at, table[at], size[at].astype(np.int32), np.diff(np.append(start, b - a)).astype(np.int32), every[a:b]]
+            head = [pa.array([int(where[a])], pa.int32()), pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, ids.type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*head, *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        ids, found, held = [], [], 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, BATCH):
-                yield from rows(batch.slice(begin, BATCH))
+            for i, text in enumerate(batch.column(1)):
+                found.append(shingles(text.as_py(), width))
+                ids.append(batch.column(0).slice(i, 1))
+                held += len(found[-1])
+                if held >= BLOCK or len(found) >= BLOCK >> 6:
+                    yield from rows(block, pa.concat_arrays(ids), found)
+                    block, ids, found, held = block + 1, [], [], 0
+        if found:
+            yield from rows(block, pa.concat_arrays(ids), found)
 
-    schema = T.StructType([
-        T.StructField("part", T.IntegerType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.BinaryType()),
-        T.StructField("n", T.IntegerType()), T.StructField("grams", T.BinaryType()),
-    ])
-    names = schema.names
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _count(percent: int):
-    """Arrow function for a fragment's rows: documents pass, segments come back with only the n-grams that a set of a fitting size shares."""
-
-    def run(table: pa.Table) -> pa.Table:
-        held = table["grams"].combine_chunks()
-        documents = table.filter(held.is_null()).select(["id", "node", "n"])
-        rows = table.filter(held.is_valid()).select(["node", "n", "grams"]).combine_chunks()
-        nodes = rows["node"].combine_chunks()
-        codes = nodes.dictionary_encode().indices.to_numpy()
-        _, firsts = np.unique(codes, return_index=True)  # equal sets are one
-        firsts = firsts[np.argsort(rows["n"].to_numpy()[firsts], kind="stable")]
-        rows = rows.take(pa.array(firsts)).combine_chunks()
-        n = rows["n"].to_numpy().astype(np.int64)
-        lists = rows["grams"].to_pylist()
-        count = np.array([len(x) >> 3 for x in lists], dtype=np.int64)
-        grams = np.frombuffer(b"".join(lists), dtype="<u8")
-        owner = np.repeat(np.arange(len(count)), count)
-        order = np.argsort(grams, kind="stable")  # of one n-gram in order of the sets' sizes
-        ranked, size = grams[order], n[owner[order]]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, dtype=bool)
-        run_of = np.cumsum(new) - 1
-        level = np.floor(np.log2(np.maximum(np.bincount(run_of), 1))).astype(np.uint8)[run_of] if len(ranked) else np.zeros(0, dtype=np.uint8)
-        fits = ~new[1:] & (100 * size[:-1] >= percent * size[1:])  # the nearest size on either side decides
-        shared = np.zeros(len(ranked), dtype=bool)
-        shared[1:] |= fits
-        shared[:-1] |= fits
-        marked, levels = np.zeros(len(grams), dtype=bool), np.zeros(len(grams), dtype=np.uint8)
-        marked[order], levels[order] = shared, level
-        m = np.bincount(owner[marked], minlength=len(count)).astype(np.int32)
-        some = np.flatnonzero(m)
-        ends = np.concatenate([[0], np.cumsum(m[some])]).astype(np.int32)
-        kept, kept_levels = grams[marked], levels[marked]
-        segments = rows.select(["node", "n"]).take(pa.array(some)).combine_chunks()
-        k = len(documents)
-        nothing = pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())
-        arrays = [documents["id"].combine_chunks(), documents["node"].combine_chunks(), documents["n"].combine_chunks(), *nothing]
-        blobs = [
-            pa.array(m[some], pa.int32()), pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends * np.int32(8)), pa.py_buffer(np.ascontiguousarray(kept))]),
-            pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(kept_levels)]),
-        ]
-        names = ["id", "node", "n", "m", "grams", "levels"]
-        more = pa.Table.from_arrays([pa.nulls(len(some), table["id"].type), segments["node"].combine_chunks(), segments["n"].combine_chunks(), *blobs], names)
-        return pa.concat_tables([pa.Table.from_arrays(arrays, names), more])
+def _marked(block: np.ndarray, row: np.ndarray, node: np.ndarray, n: np.ndarray, count: np.ndarray, grams: np.ndarray, percent: int) -> tuple:
+    """(segments, m, grams, levels): the segments that have n-grams shared with a set of a fitting size, how many, and these with their levels.
+
+    A level is the logarithm of the number of sets that have the n-gram. Of equal
+    sets the one with the least (block, row) stands for all.
+    """
+    order = np.lexsort((row, block, node["b"], node["a"]))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = node[order[1:]] != node[order[:-1]]
+    kept = order[first]
+    kept = kept[np.argsort(n[kept], kind="stable")]
+    begins, count = (np.cumsum(count) - count)[kept], count[kept]
+    total = int(count.sum())
+    owner = np.repeat(np.arange(len(kept), dtype=np.int32), count)
+    grams = grams[np.repeat(begins - (np.cumsum(count) - count), count) + np.arange(total)]
+    by = np.argsort(grams, kind="stable")  # of one n-gram in order of the sets' sizes
+    new = np.ones(total, dtype=bool)
+    new[1:] = grams[by[1:]] != grams[by[:-1]]
+    size = n[kept][owner[by]]
+    fits = ~new[1:] & (100 * size[:-1] >= percent * size[1:])  # the nearest size on either side decides
+    shared = np.zeros(total, dtype=bool)
+    shared[1:] |= fits
+    shared[:-1] |= fits
+    del size, fits
+    held = np.diff(np.append(np.flatnonzero(new), total))
+    level = np.repeat(np.log2(held).astype(np.uint8), held)
+    marked, levels = np.zeros(total, dtype=bool), np.zeros(total, dtype=np.uint8)
+    marked[by], levels[by] = shared, level
+    m = np.bincount(owner[marked], minlength=len(kept))
+    return kept, m, grams[marked], levels[marked]
+
+
+def _count(percent: int, id_type: pa.DataType):
+    """Arrow function over a fragment: documents pass, and each block gets back its marked n-grams in one row."""
+    names = ["block", "row", "id", "node", "n", "rows", "sizes", "m", "grams", "levels"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        for batch in batches:
+            alone = pc.is_null(batch.column(10))
+            documents = batch.filter(alone)
+            if len(documents):
+                yield pa.RecordBatch.from_arrays([*documents.columns[1:6], *(pa.nulls(len(documents), pa.binary()) for _ in range(5))], names)
+            segments = batch.filter(pc.invert(alone))
+            if len(segments):
+                held += [list(x) for x in zip(segments.column(1).to_pylist(), *(segments.column(i).to_pylist() for i in range(6, 11)), strict=True)]
+        if not held:
+            return
+        held.sort(key=lambda x: x[0])
+        row, node, n, count, grams = (np.frombuffer(b"".join(x[i] for x in held), dtype=d) for i, d in ((1, "<i4"), (2, [("a", ">u8"), ("b", ">u8")]), (3, "<i4"), (4, "<i4"), (5, "<u8")))
+        block = np.repeat(np.array([x[0] for x in held]), [len(x[1]) >> 2 for x in held])
+        held.clear()
+        kept, m, grams, levels = _marked(block, row, node.astype([("a", "u8"), ("b", "u8")]), n.astype(np.int64), count.astype(np.int64), grams, percent)
+        # back in order of the blocks
+        start, some = np.cumsum(m) - m, np.flatnonzero(m)
+        some = some[np.lexsort((row[kept[some]], block[kept[some]]))]
+        where = np.repeat(start[some] - (np.cumsum(m[some]) - m[some]), m[some]) + np.arange(int(m.sum()))
+        grams, levels, own, m = grams[where], levels[where], kept[some], m[some].astype(np.int32)
+        ends = np.cumsum(m)
+        bounds = np.flatnonzero(np.concatenate([[True], block[own[1:]] != block[own[:-1]], [True]])) if len(own) else np.zeros(1, dtype=np.int64)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            lo, hi = int(ends[a] - m[a]), int(ends[b - 1])
+            blobs = [row[own[a:b]], n[own[a:b]], m[a:b], grams[lo:hi], levels[lo:hi]]
+            head = [pa.array([int(block[own[a]])]), pa.nulls(1, pa.int32()), pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*head, *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names)
 
     return run
 
 
 def _gather(percent: int):
-    """Arrow function: (node, n, grams array, at array) of each set from its segments: all marked n-grams, and the rarest of them as meeting places."""
+    """Arrow function over blocks: (block, row, n, grams, at) of each set that may link: its marked n-grams of all fragments, and the rarest as meeting places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, places = [], []
-            for n, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                grams = np.frombuffer(b"".join(p["grams"] for p in parts), dtype="<u8")
-                levels = np.frombuffer(b"".join(p["levels"] for p in parts), dtype=np.uint8)
-                wanted = len(grams) - (percent * n + 99) // 100 + 1
-                places.append(grams[np.lexsort((grams, levels))[:wanted]].view(np.int64))
-                sets.append(np.sort(grams).view(np.int64))
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, kind), pa.array(places, kind)], ["node", "n", "grams", "at"])
+            for block, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                row, n, m, grams, levels = (np.frombuffer(b"".join(p[c] for p in parts), dtype=d) for c, d in (("rows", "<i4"), ("sizes", "<i4"), ("m", "<i4"), ("grams", "<u8"), ("levels", "u1")))
+                total, size = np.zeros(int(row.max()) + 1, dtype=np.int64), np.zeros(int(row.max()) + 1, dtype=np.int64)
+                np.add.at(total, row, m)
+                size[row] = n
+                least = (percent * size + 99) // 100
+                may = (size > 0) & (total >= least)
+                owner = np.repeat(row, m)
+                keep = may[owner]
+                owner, grams, levels = owner[keep], grams[keep], levels[keep]
+                order = np.lexsort((grams, levels, owner))
+                rows = np.flatnonzero(may)
+                sets = np.split(grams[order], np.cumsum(total[rows])[:-1]) if len(rows) else []
+                kind = pa.list_(pa.int64())
+                places = [x[: t - k + 1].view(np.int64) for x, t, k in zip(sets, total[rows], least[rows], strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(rows), block)), pa.array(rows.astype(np.int32)), pa.array(size[rows].astype(np.int32)),
+                    pa.array([np.sort(x).view(np.int64) for x in sets], kind), pa.array(places, kind),
+                ], ["block", "row", "n", "grams", "at"])
 
     return run
 
 
-def _chains(met: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of sets that are next to each other at some place, and of each chunk's first with the place's least."""
-    from pyspark.sql import Window
+def _trees(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the sets of each place as a tree: each with the set before it, in order of size, of a higher level.
 
+    A set's level is the number of trailing zero hex digits of its hash, so trees are
+    shallow, no set has many partners, and a place with a few other members has nearly the same pairs.
+    """
     by = Window.partitionBy("at", "c").orderBy("n", "node")
-    row = met.withColumn("after", F.lead(F.struct("node", "n")).over(by)).withColumn("first", F.row_number().over(by) == 1)
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    nexts = row.where(F.col("after").isNotNull() & fits(F.col("n"), F.col("after.n"))).select("node", F.col("after.node").alias("other"))
-    heads = row.where(F.col("first") & (F.col("total") > CHAIN)).select("node", F.col("head").alias("other"))
-    both = nexts.unionByName(heads).where("node <> other")
-    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    row = met.withColumn("level", F.least(F.length(F.regexp_extract(F.hex(F.xxhash64("node")), "0*$", 0)), F.lit(LEVELS)))
+    here = F.struct("node", "n")
+    ups = [F.last(F.when(F.col("level") > i, here), ignorenulls=True).over(before) for i in range(LEVELS)]
+    up = F.lit(None).cast("struct<node:binary,n:int>")
+    for i, u in reversed(list(enumerate(ups))):
+        up = F.when(F.col("level") == i, u).otherwise(up)
+    first = F.first(here).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    row = row.withColumn("up", F.coalesce(up, F.when(F.col("total") <= CHAIN, first), F.struct(F.col("head").alias("node"), F.col("n"))))
+    fits = 100 * F.least("n", "up.n") >= percent * F.greatest("n", "up.n")
+    pairs = row.where(fits & (F.col("node") != F.col("up.node"))).select("node", F.col("up.node").alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,6 +305,18 @@ def _across(met: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) ->
     return links
 
 
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of the components after ``more`` links between their nodes: found over roots, of which few are left open."""
+    if not more.take(1):
+        return roots
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    over = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    after = store.keep(components.components(over), "joined-roots").withColumnRenamed("node", "was").withColumnRenamed("root", "now")
+    moved = roots.join(after, roots["root"] == after["was"], "left").select("node", F.coalesce("now", "root").alias("root"))
+    alone = after.join(roots, after["was"] == roots["node"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
+    return store.keep(moved.unionByName(alone), "roots")
+
+
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, postings: int = POSTINGS) -> DataFrame:
     """(id_col, n_shingles long, component_id) of every row: documents linked where 100 * intersection >= percent * union.
 
@@ -265,13 +331,18 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words = (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // BYTES
     fragments = max(1, -(-words // postings))
     cut = _segments(docs, id_col, text_col, width, fragments)
-    schema = T.StructType([*cut.schema.fields[1:4], T.StructField("m", T.IntegerType()), T.StructField("grams", T.BinaryType()), T.StructField("levels", T.BinaryType())])
-    counted = store.keep(cut.repartition(fragments, "part").groupBy("part").applyInArrow(_count(percent), schema), "counted")
+    blob = [T.StructField(c, T.BinaryType()) for c in ("rows", "sizes", "m", "grams", "levels")]
+    schema = T.StructType([*cut.schema.fields[1:6], *blob])
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    # a fragment is a partition; all its blocks' rows are there
+    counted = store.keep(cut.repartitionById(fragments, "part").mapInArrow(_count(percent, id_type), schema), "counted")
+    store.release(spark)
+    documents = store.keep(counted.where("rows is null").select("block", "row", "id", "node", "n"), "documents")
+    parts = counted.where("rows is not null").groupBy("block").agg(F.collect_list(F.struct("rows", "sizes", "m", "grams", "levels")).alias("parts"))
+    linkable = parts.mapInArrow(_gather(percent), "block long, row int, n int, grams array<long>, at array<long>")
+    sets = store.keep(linkable.join(documents.select("block", "row", "node"), ["block", "row"]).select("node", "n", "grams", "at"), "sets")
+    store.drop(counted)
     store.release(spark)
-    documents, marked = counted.where("m is null").select("id", "node", "n"), counted.where("m is not null").select("node", "n", "m", "grams", "levels")
-    linkable = marked.groupBy("node").agg(F.sum("m").alias("m"), F.first("n").alias("n")).where(F.col("m") >= _least(F.col("n"), percent)).select("node")
-    parts = marked.join(linkable, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("grams", "levels")).alias("parts"))
-    sets = store.keep(parts.mapInArrow(_gather(percent), "node binary, n int, grams array<long>, at array<long>"), "sets")
     placed = sets.select("node", "n", F.explode("at").alias("at"))
     places = placed.groupBy("at").agg(
         F.count("*").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min(F.struct("n", "node")).alias("head")
@@ -279,20 +350,23 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = places.groupBy("total", "x", "y").agg(F.min("at").alias("at"), F.first("head.node").alias("head")).select("at", "total", "head")
     places = store.keep(places, "places")
     # ``places`` is stored, so the join has plain exchanges on both sides, which Spark can split at a large place
-    met = store.keep(placed.join(places, "at").withColumn("c", F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / CHAIN)).cast("int")), "met")
+    met = store.keep(placed.join(places, "at").withColumn("c", F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("total") / CHAIN)).cast("int")), "met")
+    store.drop(places)
     store.release(spark)
-    links = _verified(store.keep(_chains(met, percent), "pairs"), sets, percent)
+    links = _verified(store.keep(_trees(met, percent), "pairs"), sets, percent)
     store.release(spark)
-    roots = store.keep(components.components(links), "chain-roots")
-    more = _across(met, sets, roots, percent)
-    roots = store.keep(components.components(links.unionByName(more)), "roots")
+    roots = store.keep(components.components(links), "tree-roots")
+    roots = _joined(roots, _across(met, sets, roots, percent))
+    for table in (met, sets, links):
+        store.drop(table)
     store.release(spark)
     nodes = documents.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     of = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = store.keep(of.join(named, "root").select("node", "component_id"), "labels")
-    out = documents.join(labels, "node", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out
+    return documents.join(labels, "node", "left").select(
+        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    )
 
 
 def op11_ngram_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
