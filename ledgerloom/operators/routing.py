@@ -11,6 +11,7 @@ from ledgerloom.operators import relate
 # Fixed values of the alias score and of the least token overlap.
 ALIAS_BASE, ALIAS_LENGTH, ALIAS_MOST = 0.6, 60, 0.39
 LEAST_OVERLAP = 0.3
+FEW = 4096  # first letters of aliases that fit in an expression
 #: What Python's strip() takes off.
 BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -19,6 +20,10 @@ def alias_score(alias: Column) -> Column:
     return F.lit(ALIAS_BASE) + F.least(F.length(alias) / ALIAS_LENGTH, F.lit(ALIAS_MOST))
 
 
+def python_score(length: int) -> float:
+    return ALIAS_BASE + min(length / ALIAS_LENGTH, ALIAS_MOST)
+
+
 def alias_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, name_id: str, alias_col: str, gram: int = 4) -> DataFrame:
     """Of each text the alias it contains with the best score (longest; ties to the smaller id): (id_col, name_id, alias_col, score).
 
@@ -37,7 +42,10 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: s
         return F.array_distinct(F.transform(starts, lambda i: F.substring("__text", i, n)))
 
     grams = F.array_distinct(F.concat(*(groups(n) for n in range(1, gram + 1))))
-    candidates = low.select(F.col(id_col).alias("__id"), F.explode(grams).alias("__gram")).join(names.select("__gram").distinct(), "__gram")
+    starts = names.select("__gram").distinct()
+    if starts.limit(FEW + 1).count() <= FEW:  # only groups that some alias starts with leave a text
+        grams = F.array_intersect(grams, F.array(*(F.lit(r["__gram"]) for r in starts.collect())).cast("array<string>"))
+    candidates = low.select(F.col(id_col).alias("__id"), F.explode(grams).alias("__gram")).join(starts, "__gram")
     candidates = candidates.join(names, "__gram").groupBy("__id").agg(F.collect_set(F.struct(name_id, alias_col, "__low")).alias("__names"))
     met = low.join(candidates, F.col(id_col).eqNullSafe(F.col("__id"))).select(
         id_col, F.explode(F.filter("__names", lambda n: F.contains(F.col("__text"), n["__low"]))).alias("__n")
