@@ -8,7 +8,7 @@ from datetime import UTC
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import redact, text
@@ -18,7 +18,7 @@ FORWARD = r"(?i)^\s*(fwd|fw|wg)\s*:"
 INNER_FROM = r"(?im)^\s*(?:from|von)\s*:\s*(.+)$"
 
 
-def _parse(raw: bytes) -> dict:
+def parse_mail(raw: bytes) -> dict:
     """Headers and plain text of one message; what can't be read has an error instead."""
     try:
         m = email.message_from_bytes(raw, policy=email.policy.default)
@@ -45,11 +45,15 @@ def mails(spark: SparkSession, root: str) -> DataFrame:
     def read(batches):
         fields = [f.split()[0] for f in schemas.EML_FIELDS.split(", ")]
         for batch in batches:
-            rows = pd.DataFrame([_parse(bytes(x)) for x in batch["content"]], columns=fields)
+            rows = pd.DataFrame([parse_mail(bytes(x)) for x in batch["content"]], columns=fields)
             yield pd.concat([batch[["path", "modificationTime"]].reset_index(drop=True), rows], axis=1)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.eml").load(root)
-    m = files.select("path", "modificationTime", "content").mapInPandas(read, f"path string, modificationTime timestamp, {schemas.EML_FIELDS}").where("error is null")
+    return mail_events(files.select("path", "modificationTime", "content").mapInPandas(read, f"path string, modificationTime timestamp, {schemas.EML_FIELDS}").where("error is null"))
+
+
+def mail_events(m: DataFrame) -> DataFrame:
+    """Events of parsed mails (path, modificationTime and the fields of ``parse_mail``)."""
     name = F.element_at(F.split("path", "/"), -1)
     named = F.try_to_timestamp(F.regexp_extract(name, r"^(\d{8}_\d{6})", 1), F.lit("yyyyMMdd_HHmmss"))
     forward = F.col("subject").rlike(FORWARD) & F.col("body").rlike(INNER_FROM)
@@ -72,14 +76,18 @@ def scans(spark: SparkSession, root: str, source: str) -> DataFrame:
     if not scratch.there(spark, root):
         return spark.createDataFrame([], schemas.EVENT)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(root)
+    return scan_events(files.withColumn("modified", F.col("modificationTime")), source, F.sha2("content", 256))
+
+
+def scan_events(files: DataFrame, source: str, digest: Column) -> DataFrame:
+    """Events of scanned files (path, length, modified)."""
     name = F.element_at(F.split("path", "/"), -1)
-    digest = F.sha2("content", 256)
     kind = text.document_type(name)
     day = F.try_to_timestamp(F.regexp_extract(name, r"(\d{8})", 1), F.lit("yyyyMMdd"))
     return files.select(
         F.lit(source).alias("source"), F.concat(name, F.lit(":"), F.substring(digest, 1, 16)).alias("source_ref"), F.concat(name, F.lit(" ("), kind, F.lit(")")).alias("raw_content"),
         F.map_from_arrays(F.array(*map(F.lit, ("filename", "content_sha256", "bytes", "document_type"))), F.array(name, digest, F.col("length").cast("string"), kind)).alias("metadata"),
-        F.lit(None).cast("string").alias("property_id"), F.coalesce(day, "modificationTime").alias("received_at"), kind.alias("document_type"),
+        F.lit(None).cast("string").alias("property_id"), F.coalesce(day, "modified").alias("received_at"), kind.alias("document_type"),
     )
 
 

@@ -14,7 +14,11 @@ def bank_rows(spark: SparkSession, path: str) -> DataFrame:
     """Bank rows as events: signed amount, references from the purpose, scrubbed text, a stable reference."""
     if not scratch.there(spark, path):
         return spark.createDataFrame([], schemas.EVENT)
-    rows = spark.read.schema(schemas.BANK).csv(path, header=True)
+    return bank_events(spark.read.schema(schemas.BANK).csv(path, header=True))
+
+
+def bank_events(rows: DataFrame) -> DataFrame:
+    """Events of bank rows (the columns of ``schemas.BANK``)."""
     amount = text.amount(F.col("betrag"))
     signed = F.when(F.upper("typ") == "DEBIT", -amount).otherwise(amount)
     purpose = F.coalesce("verwendungszweck", F.lit(""))
