@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # The patterns of account numbers, mail addresses and phone numbers.
 IBAN_DE = r"\bDE\d{20}\b"
 IBAN_OTHER = r"\b(?:[A-Z]{2}\d{2})[A-Z0-9]{11,30}\b"
+# The same matches, with their last four characters as a group.
+IBAN_DE_LAST4 = r"\bDE\d{16}(\d{4})\b"
+IBAN_OTHER_LAST4 = r"\b[A-Z]{2}\d{2}[A-Z0-9]{7,26}([A-Z0-9]{4})\b"
 EMAIL = r"\b([A-Za-z0-9._%+-]+)@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"\+?\d[\d\s\-/]{7,}\d"
 PHONE_START = r"(?U)\d[\d\s\-/]{7}"
@@ -43,6 +46,11 @@ def email_redact(col: Column, keep_local_part: bool = True) -> Column:
     return F.when(col.rlike(f"^{EMAIL}$"), new).otherwise(col)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def _replaced(col: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
     """``col`` with ``new(match)`` in place of each match of the pattern."""
     parts = F.zip_with(
@@ -61,15 +69,14 @@ def _short_phone(hit: Column) -> Column:
 
 def scrub_mail_and_iban(col: Column) -> Column:
     """Account numbers and mail addresses in free text, in that order."""
-    for pattern in (IBAN_DE, IBAN_OTHER):
-        col = _replaced(col, pattern, lambda hit: F.concat(F.lit("****"), F.right(hit, F.lit(4))))
-    return F.when(F.contains(col, F.lit("@")), F.regexp_replace(col, EMAIL, "$1" + EMAIL_DOMAIN)).otherwise(col)
+    for pattern in (IBAN_DE_LAST4, IBAN_OTHER_LAST4):
+        col = F.regexp_replace(col, pattern, "****$1")
+    return _let(col, lambda c: F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, EMAIL, "$1" + EMAIL_DOMAIN)).otherwise(c))
 
 
 def scrub_text(col: Column) -> Column:
     """Account numbers, mail addresses, then phone numbers of eight digits or more; a second pass changes nothing."""
-    out = scrub_mail_and_iban(col)
-    return F.when(out.rlike(PHONE_START), _replaced(out, "(?U)" + PHONE, _short_phone)).otherwise(out)
+    return _let(scrub_mail_and_iban(col), lambda c: F.when(c.rlike(PHONE_START), _replaced(c, "(?U)" + PHONE, _short_phone)).otherwise(c))
 
 
 def assert_no_iban(col: Column) -> Column:
