@@ -54,11 +54,21 @@ def month_grid(keys: DataFrame, key: str, first: str, months: int) -> DataFrame:
 def token_matches(texts: DataFrame, names: DataFrame, id_col: str, tokens_col: str, name_id: str, name_tokens: str, least: float) -> DataFrame:
     """Of each text the name with the largest share of its tokens in the text, at least ``least``; ties go to the smaller id.
 
-    Tokens meet by equality; both sides hold a token once a row.
+    A name of n tokens needs ceil(least * n) of them, so a text has one at least of its n - ceil(least * n) + 1
+    rarest: texts and names meet under these only, and pairs are then counted whole. A token that
+    all texts share brings none together unless it is among a name's rarest.
     """
-    left = texts.select(id_col, F.explode(tokens_col).alias("token"))
-    right = names.select(name_id, F.size(name_tokens).alias("n_tokens"), F.explode(name_tokens).alias("token"))
-    shares = left.join(right, "token").groupBy(id_col, name_id).agg((F.count("*") / F.max("n_tokens")).alias("score"))
+    left = texts.select(id_col, F.array_distinct(tokens_col).alias("__said"))
+    right = names.select(name_id, F.array_distinct(name_tokens).alias("__own")).where(F.size("__own") > 0)
+    said, own = left.select(id_col, F.explode("__said").alias("token")), right.select(name_id, F.size("__own").alias("__n"), F.explode("__own").alias("token"))
+    known = own.select("token").distinct()
+    often = said.join(known, "token").groupBy("token").agg(F.count("*").alias("__often"))
+    needed = F.ceil(least * F.col("__n") - 1e-9)
+    by = Window.partitionBy(name_id).orderBy(F.coalesce("__often", F.lit(0)), "token")
+    rare = own.join(often, "token", "left").withColumn("__place", F.row_number().over(by)).where(F.col("__place") <= F.col("__n") - needed + 1)
+    pairs = said.join(rare.where("__often > 0").select(name_id, "token"), "token").select(id_col, name_id).distinct()
+    share = F.size(F.array_intersect("__said", "__own")) / F.size("__own")
+    shares = pairs.join(left, id_col).join(right, name_id).select(id_col, name_id, share.alias("score"))
     return first_per_key(shares.where(F.col("score") >= least), [id_col], [F.desc("score"), F.asc(name_id)])
 
 
