@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ROWS = 512  # texts that are held as Python strings at once
+
 
 def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
     """``df`` with the columns of the DDL ``fields``, which ``compute`` gives for a list of texts.
@@ -23,6 +25,8 @@ def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *compute(batch.column(0).to_pylist())], header)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *compute(part.column(0).to_pylist())], header)
 
     return rows.mapInArrow(run, schema)
