@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+COMMON = 64  # names that may have a token before it counts as common
+
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row of each key, the first in a total order."""
@@ -51,22 +53,31 @@ def month_grid(keys: DataFrame, key: str, first: str, months: int) -> DataFrame:
     return keys.select(key, month.alias("month"))
 
 
-def token_matches(texts: DataFrame, names: DataFrame, id_col: str, tokens_col: str, name_id: str, name_tokens: str, least: float) -> DataFrame:
+def token_matches(texts: DataFrame, names: DataFrame, id_col: str, tokens_col: str, name_id: str, name_tokens: str, least: float, common: int = COMMON) -> DataFrame:
     """Of each text the name with the largest share of its tokens in the text, at least ``least``; ties go to the smaller id.
 
-    A name of n tokens needs ceil(least * n) of them, so a text has one at least of its n - ceil(least * n) + 1
-    rarest: texts and names meet under these only, and pairs are then counted whole. A token that
-    all texts share brings none together unless it is among a name's rarest.
+    A name of n tokens needs ceil(least * n) of them, so a text has one at least of any n - ceil(least * n) + 1:
+    texts and names meet under these only, and pairs are then counted whole. Tokens that over ``common`` names have come last
+    among them and don't bring names together with texts: a text that has no other token of a name has the same share of all names
+    with the same common tokens and as many tokens, so of these the least name alone meets it under common tokens.
     """
     left = texts.select(id_col, F.array_distinct(tokens_col).alias("__said"))
     right = names.select(name_id, F.array_distinct(name_tokens).alias("__own")).where(F.size("__own") > 0)
     said, own = left.select(id_col, F.explode("__said").alias("token")), right.select(name_id, F.size("__own").alias("__n"), F.explode("__own").alias("token"))
-    known = own.select("token").distinct()
-    often = said.join(known, "token").groupBy("token").agg(F.count("*").alias("__often"))
+    among = own.groupBy("token").agg(F.count("*").alias("__among"))
+    often = said.join(among, "token").groupBy("token").agg(F.count("*").alias("__often"))
+    own = own.join(among, "token").join(often, "token", "left").withColumn("__common", F.col("__among") > common)
     needed = F.ceil(least * F.col("__n") - 1e-9)
-    by = Window.partitionBy(name_id).orderBy(F.coalesce("__often", F.lit(0)), "token")
-    rare = own.join(often, "token", "left").withColumn("__place", F.row_number().over(by)).where(F.col("__place") <= F.col("__n") - needed + 1)
-    pairs = said.join(rare.where("__often > 0").select(name_id, "token"), "token").select(id_col, name_id).distinct()
+
+    def first(rows: DataFrame, n: Column | str) -> DataFrame:
+        by = Window.partitionBy(name_id).orderBy("__common", F.coalesce("__often", F.lit(0)), "token")
+        return rows.withColumn("__place", F.row_number().over(by)).where(F.col("__place") <= n - needed + 1).where("__often > 0").select(name_id, "token", "__common")
+
+    rare = first(own, F.col("__n")).where("not __common")
+    shared = own.where("__common").groupBy(name_id, "__n").agg(F.sort_array(F.collect_list(F.struct("token", "__common", "__often"))).alias("__shared"))
+    alike = shared.where(F.size("__shared") >= needed).groupBy("__shared", "__n").agg(F.min(name_id).alias(name_id))
+    classes = first(alike.select(name_id, "__n", F.size("__shared").alias("__size"), F.inline("__shared")), F.col("__size"))
+    pairs = said.join(rare.unionByName(classes).select(name_id, "token"), "token").select(id_col, name_id).distinct()
     share = F.size(F.array_intersect("__said", "__own")) / F.size("__own")
     shares = pairs.join(left, id_col).join(right, name_id).select(id_col, name_id, share.alias("score"))
     return first_per_key(shares.where(F.col("score") >= least), [id_col], [F.desc("score"), F.asc(name_id)])

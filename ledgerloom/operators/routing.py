@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import text
-from ledgerloom.operators import relate
 
 # Fixed values of the alias score and of the least token overlap.
 ALIAS_BASE, ALIAS_LENGTH, ALIAS_MOST = 0.6, 60, 0.39
 LEAST_OVERLAP = 0.3
-FEW = 4096  # first letters of aliases that fit in an expression
+STARTS = 1 << 16  # first letters of aliases that are broadcast, at most
+GRAMS = (8, 6, 4, 2, 1)  # how many first letters
 #: What Python's strip() takes off.
 BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -24,36 +28,53 @@ def python_score(length: int) -> float:
     return ALIAS_BASE + min(length / ALIAS_LENGTH, ALIAS_MOST)
 
 
-def alias_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, name_id: str, alias_col: str, gram: int = 4) -> DataFrame:
+def _starts(names: DataFrame, limit: int) -> list[tuple[str, list[int]]]:
+    """(start, lengths): the first letters of all aliases, as many as keep this list under ``limit``, and how long the aliases are that begin so."""
+    for gram in GRAMS:
+        found = names.select(F.substring("__low", 1, gram).alias("start"), F.length("__low").alias("n")).distinct().groupBy("start").agg(F.collect_list("n").alias("lengths"))
+        rows = found.limit(limit + 1).collect()
+        if len(rows) <= limit or gram == GRAMS[-1]:  # first letters are as many as an alphabet has
+            return [(r["start"], sorted(r["lengths"])) for r in rows]
+    return []
+
+
+def _pieces(texts: DataFrame, id_col: str, starts: list[tuple[str, list[int]]]) -> DataFrame:
+    """(id_col, __low): the distinct parts of each text (id_col, __text) that begin as an alias does and are as long as one."""
+    held = texts.sparkSession.sparkContext.broadcast(starts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for start, lengths in held.value:
+            automaton.add_word(start, (len(start) - 1, lengths))
+        if len(automaton):
+            automaton.make_automaton()
+        for batch in batches:
+            which, parts = [], []
+            for i, text in enumerate(batch.column(1).to_pylist() if len(automaton) else ()):
+                own = {text[end - back : end - back + n] for end, (back, lengths) in automaton.iter(text) for n in lengths if end - back + n <= len(text)}
+                which += [i] * len(own)
+                parts += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), pa.array(parts, pa.string())], [id_col, "__low"])
+
+    return texts.mapInArrow(run, T.StructType([texts.schema[id_col], T.StructField("__low", T.StringType())]))
+
+
+def alias_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, name_id: str, alias_col: str, limit: int = STARTS) -> DataFrame:
     """Of each text the alias it contains with the best score (longest; ties to the smaller id): (id_col, name_id, alias_col, score).
 
-    Aliases are compared lower-cased and trimmed; blank ones match nothing. Candidates
-    meet by the alias's first ``gram`` letters, or by all of a shorter alias: every text
-    that contains it has them as one of its distinct letter groups of that length. Only
-    ids and letter groups meet there; each text then comes to its own candidates once, and the
-    whole alias is looked for. No pair of text and alias is made without a common group.
+    Aliases are compared lower-cased and trimmed; blank ones match nothing. Equal aliases are one, the least name's. A
+    text is read once for the places where an alias may begin (``limit`` such starts at most are broadcast); its parts
+    there, as long as aliases with that start are, meet the aliases as equal strings. So aliases that start alike don't
+    come to a text that only has their start.
     """
     names = aliases.select(name_id, alias_col, F.regexp_replace(F.lower(alias_col), BLANK_ENDS, "").alias("__low")).where("__low <> ''")
-    names = names.withColumn("__gram", F.substring("__low", 1, gram))
+    names = names.groupBy("__low").agg(F.min(F.struct(name_id, alias_col)).alias("__n"))
     low = texts.select(id_col, F.lower(text_col).alias("__text")).where("__text is not null")
-
-    def groups(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("__text") - n + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.substring("__text", i, n)))
-
-    grams = F.array_distinct(F.concat(*(groups(n) for n in range(1, gram + 1))))
-    starts = names.select("__gram").distinct()
-    if starts.limit(FEW + 1).count() <= FEW:  # only groups that some alias starts with leave a text
-        grams = F.array_intersect(grams, F.array(*(F.lit(r["__gram"]) for r in starts.collect())).cast("array<string>"))
-    candidates = low.select(F.col(id_col).alias("__id"), F.explode(grams).alias("__gram")).join(starts, "__gram")
-    candidates = candidates.join(names, "__gram").groupBy("__id").agg(F.collect_set(F.struct(name_id, alias_col, "__low")).alias("__names"))
-    met = low.join(candidates, F.col(id_col).eqNullSafe(F.col("__id"))).select(
-        id_col, F.explode(F.filter("__names", lambda n: F.contains(F.col("__text"), n["__low"]))).alias("__n")
-    ).select(id_col, "__n.*")
-    scored = met.withColumn("score", alias_score(F.col("__low")))
-    return relate.first_per_key(
-        scored, [id_col], [F.desc("score"), F.desc(F.length("__low")), F.asc(name_id), F.asc(alias_col)]
-    ).select(id_col, name_id, alias_col, "score")
+    met = _pieces(low, id_col, _starts(names, limit)).join(names, "__low")
+    best = met.groupBy(id_col).agg(F.min_by(F.struct("__n.*", "__low"), F.struct(-F.length("__low"), "__n")).alias("__n"))
+    return best.select(id_col, f"__n.{name_id}", f"__n.{alias_col}", alias_score(F.col("__n.__low")).alias("score"))
 
 
 def structured_route(events: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 All aliases are one Aho-Corasick automaton, so a text is read once whatever the number
 of aliases. The names are broadcast only while their bytes are under a limit that is
-checked first; beyond it they meet the texts by letter groups and tokens in joins.
+checked first; beyond it they meet the texts by equal parts and tokens in joins.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,10 +37,13 @@ class Matcher:
             if low and not self.automaton.exists(low):  # of equal aliases the least name's
                 self.automaton.add_word(low, (len(low), name, alias))
             tokens.setdefault(name, set()).update(self.tokens(alias))
-        self.sizes = {n: len(t) for n, t in tokens.items()}
-        for name, own in tokens.items():
-            for t in own:
+        among = Counter(t for own in tokens.values() for t in own)
+        self.own, alike = tokens, set()
+        for name, own in tokens.items():  # in order: of names with the same common tokens and as many tokens the least one is met under these
+            shared = frozenset(t for t in own if among[t] > relate.COMMON)
+            for t in own if (shared, len(own)) not in alike else own - shared:
                 self.places.setdefault(t, []).append(name)
+            alike.add((shared, len(own)))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -55,11 +59,9 @@ class Matcher:
         return min(((-routing.python_score(k), -k, n, a) for k, n, a in found), default=(None,) * 4)[2:]
 
     def by_tokens(self, value: str) -> tuple | None:
-        hits: dict = {}
-        for t in self.tokens(value):
-            for name in self.places.get(t, ()):
-                hits[name] = hits.get(name, 0) + 1
-        share, name = min(((-k / self.sizes[n], n) for n, k in hits.items()), default=(0.0, None))
+        said = self.tokens(value)
+        met = {name for t in said for name in self.places.get(t, ())}
+        share, name = min(((-len(self.own[n] & said) / len(self.own[n]), n) for n in met), default=(0.0, None))
         return (name, -share) if name is not None and -share >= self.least else None
 
 
@@ -87,7 +89,7 @@ def _by_automaton(texts: DataFrame, names: DataFrame, id_col: str, text_col: str
 
 def _by_joins(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_id: str, alias_col: str, least: float) -> DataFrame:
     best = routing.alias_matches(texts, names, id_col, text_col, name_id, alias_col)
-    best = best.select(id_col, F.col(name_id).alias("alias_target"), F.col(alias_col).alias("alias"))
+    best = scratch.keep(best.select(id_col, F.col(name_id).alias("alias_target"), F.col(alias_col).alias("alias")), "alias-matches")
     left = texts.join(best, id_col, "left_anti").select(id_col, text.tokens(F.col(text_col)).alias("tokens"))
     own = names.groupBy(name_id).agg(F.array_distinct(F.flatten(F.collect_list(text.tokens(F.col(alias_col))))).alias("own"))
     other = relate.token_matches(left, own, id_col, "tokens", name_id, "own", least).select(id_col, F.col(name_id).alias("token_target"), F.col("score").alias("token_score"))
@@ -123,12 +125,15 @@ def route_texts(
     matches = property_matches(events, aliases, id_col, text_col, name_id, alias_col, least, limit)
     one = routing.only_one(associations.select("association"), "association").first()["association"]
     words = F.coalesce(F.col(text_col), F.lit(""))
-    haus = F.upper(text.first_match(words, "(?iu)" + text.BUILDING_ID))
     by_id = buildings.select(F.upper("haus_id").alias("__haus"), F.col("building").alias("__building")).dropDuplicates(["__haus"])
-    rows = events.join(matches, id_col, "left").withColumn("__haus", haus).join(by_id, "__haus", "left")
-    keyword = text.first_match(words, text.any_word(text.ASSOCIATION_KEYWORDS))
+    # what the rules ask of the text is found before the joins, so that these move no text that the caller doesn't want
+    said = events.withColumns({
+        "__haus": F.upper(text.first_match(words, "(?iu)" + text.BUILDING_ID)), "__keyword": text.first_match(words, text.any_word(text.ASSOCIATION_KEYWORDS)),
+        "__unit": words.rlike("(?iu)" + text.UNIT_REFERENCE),
+    })
+    rows = said.join(matches, id_col, "left").join(by_id, "__haus", "left")
+    keyword, unit = F.col("__keyword"), F.col("__unit")
     has = F.lit(one is not None) & keyword.isNotNull()
-    unit = words.rlike("(?iu)" + text.UNIT_REFERENCE)
     rules = [
         (has & ~unit, "text_weg_keyword", "association", F.lit(one), F.concat(F.lit("keyword '"), keyword, F.lit("' (no unit ref)"))),
         (F.col("alias_target").isNotNull(), "text_alias", "unit", F.col("alias_target"), F.concat(F.lit("matched alias '"), F.col("alias"), F.lit("'"))),

@@ -77,3 +77,33 @@ def test_pointers(spark):
     got = {r["ref"]: r["target"] for r in text_router.resolved(spark.createDataFrame(rows, "ref string, to string")).collect()}
     assert got == {k: t for k in edges if (t := follow(k))} and got["c0"] == "building:1"
     assert text_router.resolved(spark.createDataFrame([], "ref string, to string")).collect() == []
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_many_names_with_common_tokens(spark, limit):
+    """Names that a text meets under common tokens only are met as one a class; a rare token still brings its own name."""
+    rng = random.Random(3)
+    names = [(i, f"garden block{i % 3} door{i}" + (" lift" if i % 5 == 0 else "") + (f" nook{i // 2}" if i % 7 == 0 else "")) for i in range(400)]
+    texts = [" ".join(rng.sample(["garden", "block1", "block2", "lift", "nothing", "nook7", "nook84", f"door{rng.randrange(400)}", "door3x"], rng.randint(1, 5))) for _ in range(80)]
+    want = {}
+    for i, said in enumerate(map(text_router.Matcher.tokens, texts)):
+        share, name = min((-len(own & said) / len(own), n) for n, a in names for own in [text_router.Matcher.tokens(a)])
+        want[i] = (None, None, name, -share) if -share >= 0.3 else (None,) * 4
+    frames = spark.createDataFrame(list(enumerate(texts)), "id int, body string"), spark.createDataFrame(names, "name int, alias string")
+    got = text_router.property_matches(*frames, "id", "body", "name", "alias", limit=limit)
+    assert {r["id"]: tuple(r)[1:] for r in got.collect()} == want
+    if not limit:  # 400 names share a token: far fewer pairs than texts x names are made
+        held = text_router.Matcher([(n, a, a.lower()) for n, a in names], 0.3)
+        assert len(held.places["garden"]) <= 20 and len(held.places["door5"]) == 1
+
+
+def test_aliases_that_start_alike(spark):
+    """Only texts with the whole alias meet it, whatever number of starts may be broadcast."""
+    names = [(i, f"Customer#{i:05d}") for i in range(3000)] + [(5000, "custom"), (5001, "Customer#00007 of old"), (5002, "#")]
+    texts = [(1, "a customer#00012, customer#02999"), (2, "CUSTOMER#00007 of old"), (3, "customer#0001"), (4, "cust"), (5, "x#"), (6, None)]
+    frames = spark.createDataFrame(texts, "id int, body string"), spark.createDataFrame(names, "name int, alias string")
+    for limit in (1 << 16, 50, 1):
+        got = routing.alias_matches(*frames, "id", "body", "name", "alias", limit=limit)
+        assert {(r["id"], r["name"]) for r in got.collect()} == {(1, 12), (2, 5001), (3, 5000), (5, 5002)}
+    low = frames[0].where("id = 4").selectExpr("id", "lower(body) as __text")
+    assert routing._pieces(low, "id", [("customer", [14])]).count() == 0
