@@ -156,12 +156,16 @@ def resolved(edges: DataFrame) -> DataFrame:
     one that runs in a circle, or to a reference that leads nowhere, has none.
     """
     now = scratch.keep(edges.where("ref is not null and to is not null").groupBy("ref").agg(F.min("to").alias("to")), "pointers")
+    moving, still = now, None  # pointers that moved in the last round; one that didn't has come to its end
     for _ in range(now.count().bit_length() + 1):
         ahead = now.select(F.col("ref").alias("to"), F.col("to").alias("__next"))
-        after = scratch.keep(now.join(ahead, "to", "left").select("ref", F.coalesce("__next", "to").alias("to")), "pointers")
-        still = after.join(now.withColumnRenamed("to", "was"), "ref").where("to <> was").limit(1).count()
-        now = after
-        if not still:
+        after = moving.join(ahead, "to", "left").select("ref", F.coalesce("__next", "to").alias("to"), (F.coalesce("__next", "to") != F.col("to")).alias("moved"))
+        after = scratch.keep(after, "pointers")
+        done = after.where("not moved").select("ref", "to")
+        still = done if still is None else still.unionByName(done)
+        moving = after.where("moved").select("ref", "to")
+        now = still.unionByName(moving)
+        if not moving.take(1):
             break
     ends = now.join(now.select(F.col("ref").alias("to")), "to", "left_anti")  # what is itself a reference is in a circle
     return ends.where(F.contains("to", F.lit(":"))).select("ref", F.col("to").alias("target"))
@@ -169,9 +173,16 @@ def resolved(edges: DataFrame) -> DataFrame:
 
 def structured(events: DataFrame, pointers: DataFrame, association: str | None) -> DataFrame:
     """``routing.structured_route`` of events whose eh_id, mie_id, invoice_ref and haus_id are resolved through ``pointers`` (ref, target)."""
-    rows = events
-    for column, into in (("eh_id", "unit_by_eh"), ("mie_id", "unit_by_mie"), ("invoice_ref", "invoice_target"), ("haus_id", "building_by_haus")):
-        rows = rows.join(pointers.select(F.col("ref").alias(column), F.col("target").alias(into)), column, "left")
+    of = {"eh_id": "unit_by_eh", "mie_id": "unit_by_mie", "invoice_ref": "invoice_target", "haus_id": "building_by_haus"}
+    n = sum(F.col(c).isNotNull().cast("int") for c in of)
+    none, one, more = events.where(n == 0), events.where(n == 1), events.where(n > 1)
+    # most events have one reference: these meet the pointers once, and events without any never do
+    met = one.withColumn("__ref", F.coalesce(*of)).join(pointers.select(F.col("ref").alias("__ref"), F.col("target").alias("__target")), "__ref", "left")
+    met = met.select(*events.columns, *(F.when(F.col(c).isNotNull(), F.col("__target")).alias(into) for c, into in of.items()))
+    for column, into in of.items():
+        more = more.join(pointers.select(F.col("ref").alias(column), F.col("target").alias(into)), column, "left")
+    none = none.withColumns({into: F.lit(None).cast("string") for into in of.values()})
+    rows = met.unionByName(more).unionByName(none)
     return routing.structured_route(rows.withColumn("association", F.lit(association).cast("string")))
 
 

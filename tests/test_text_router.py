@@ -107,3 +107,26 @@ def test_aliases_that_start_alike(spark):
         assert {(r["id"], r["name"]) for r in got.collect()} == {(1, 12), (2, 5001), (3, 5000), (5, 5002)}
     low = frames[0].where("id = 4").selectExpr("id", "lower(body) as __text")
     assert routing._pieces(low, "id", [("customer", [14])]).count() == 0
+
+
+def test_pointers_that_rest_are_left_alone(spark, monkeypatch):
+    kept, keep = [], text_router.scratch.keep
+    monkeypatch.setattr(text_router.scratch, "keep", lambda df, name: kept.append(out := keep(df, name)) or out)
+    edges = [(f"r{i}", f"r{i + 1}") for i in range(63)] + [("r63", "unit:1"), *((f"x{i}", f"unit:{i}") for i in range(1000))]
+    got = {r["ref"]: r["target"] for r in text_router.resolved(spark.createDataFrame(edges, "ref string, to string")).collect()}
+    assert len(got) == 1064 and got["r0"] == "unit:1" and got["x7"] == "unit:7"
+    assert sum(df.count() for df in kept) < 3 * 1064  # each round wrote all of them before
+
+
+def test_structured_of_one_none_and_several_references(spark):
+    cols = ("eh_id", "mie_id", "invoice_ref", "haus_id")
+    refs = [(a, b, c, d) for a in ("EH-1", "EH-9", None) for b in ("MIE-1", "MIE-9", None) for c in ("INV-1", None) for d in ("HAUS-1", None)]
+    rows = [(i, *r, "other", "none", "bank") for i, r in enumerate(refs)]
+    events = spark.createDataFrame(rows, f"n int, {', '.join(c + ' string' for c in cols)}, category string, words string, source string")
+    known = {"EH-1": "unit:1", "MIE-1": "unit:2", "INV-1": "building:3", "HAUS-1": "building:4"}
+    got = text_router.structured(events, spark.createDataFrame(list(known.items()), "ref string, target string"), "association:1")
+    want = {i: next((known[x] for x in r if x in known), None) for i, r in enumerate(refs)}
+    assert {r["n"]: r["target"] for r in got.collect()} == want
+    # events with one reference are joined once, whatever its kind
+    once = [j for j in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftOuter" in j and "__ref" in j]
+    assert len(once) == 1
