@@ -17,14 +17,19 @@ def write_files(rows: DataFrame, root: str) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = archive._system(root)
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system.create_dir(f"{base}/{path.rpartition('/')[0]}", recursive=True)
+                folder = path.rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(f"{base}/{folder}", recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(f"{base}/{path}") as f:
                     f.write(content)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
-    return rows.select("path", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in the files, not in the rows' bytes
+    return rows.select("path", F.col("content").cast("binary")).repartition(tasks, "path").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def mail_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from ledgerloom.sources import files, schemas, tables
 FOLDERS = {"mail": "emails", "bank": "bank", "letter": "briefe", "invoice": "rechnungen"}
 SUFFIX = {"mail": ".eml", "bank": ".csv", "letter": ".pdf", "invoice": ".pdf"}
 BYTES = 64 << 20  # of the files of one partition, about
+OPEN = 64 << 10  # bytes that opening a file counts as, so that many small files are many partitions
 _FILE = "day int, path string, modified timestamp, error string"
 _SCAN = "name string, sha256 string, length long"
 _MAIL = schemas.EML_FIELDS.removesuffix(", error string")
@@ -100,11 +101,11 @@ class _Archive:
     def dealt(self, found: list[tuple]) -> list[Files]:
         out, held = [[]], 0
         for day, path, modified, size in found:
-            if out[-1] and held + size > BYTES:
+            if out[-1] and held + size + OPEN > BYTES:
                 out.append([])
                 held = 0
             out[-1].append((day, path, modified))
-            held += size
+            held += size + OPEN
         return [Files(x) for x in out if x]
 
     def rows(self, part: Files) -> Iterator[tuple]:

@@ -84,3 +84,9 @@ def test_a_stream_moves_by_days_and_a_crash_leaves_it_on_the_same_day(spark, tmp
     assert run(spark, root, f"{out}2", f"{checkpoint}2", None) == [[1, 2, 3, 4, 5]]
     want = rows(archive.events(archive.pull(spark, str(root), "mail", days=True), "mail"))
     assert rows(spark.read.parquet(out).withColumn("metadata", F.col("metadata"))) == want and len(want) == 8
+
+
+def test_small_files_are_dealt_out_by_number(tmp_path):
+    found = [(1, f"{i}.eml", None, 400) for i in range(5000)]
+    parts = archive._Archive({"path": str(tmp_path), "kind": "mail"}).dealt(found)
+    assert [f[1] for p in parts for f in p.files] == [f[1] for f in found] and 4 <= len(parts) <= 20
