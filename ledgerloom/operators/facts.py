@@ -15,6 +15,7 @@ WEAKER_LEAD = 10
 FLOOR = 70
 AUTHORITATIVE = ("structural_permit", "vermessungsprotokoll", "kaufvertrag")
 TOLERANCE_PERCENT = 5.0
+HOT = 100_000  # actions on one item that aren't sorted together
 
 
 def source_rank(source: Column) -> Column:
@@ -135,7 +136,10 @@ def promote(uncertain: DataFrame, actions: DataFrame, key: str) -> DataFrame:
     A promotion takes the action's value, else the item's hypothesis; without either
     it is unprocessable, and on an item that isn't open a conflict.
     """
-    met = actions.join(uncertain, key, "left")
+    # keys of very many actions are few: their items come to the actions, which then needn't be sorted in one task
+    often = F.broadcast(actions.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT).select(key))
+    met = actions.join(often, key, "left_anti").join(uncertain, key, "left")
+    met = met.unionByName(actions.join(often, key, "left_semi").join(F.broadcast(uncertain.join(often, key, "left_semi")), key, "left"))
     value = F.coalesce(F.nullif("given_value", F.lit("")), F.nullif("hypothesis", F.lit("")))
     outcome = (
         F.when(F.col("status").isNull(), "not_found").when(F.col("status") != "open", "conflict")

@@ -84,3 +84,12 @@ def test_alias_and_documents(spark):
     rows = [(1, "lease", "end_date", "2025", "active"), (1, "overview", "owner_name", "A", "active"), (1, "lease", "old", "x", "archive"), (1, "zzz", "b", None, "recent")]
     doc = render.documents(spark.createDataFrame(rows, "k int, s string, f string, v string, tier string"), "k", "s", "f", "v", "tier").first()
     assert doc.content == "## Overview\n- Owner name: A\n\n## Lease\n- End date: 2025\narchived: 1\n\n## Zzz\n- B: "
+
+
+def test_actions_on_a_hot_key(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "open", "h"), (2, "done", "h"), (3, "open", None)], "k int, status string, hypothesis string")
+    actions = spark.createDataFrame([(k, "promote", v) for k in (1, 1, 1, 1, 2, 3, 9, 9, 9, None, None, None) for v in ("x", None)], "k int, action string, given_value string")
+    want = sorted(map(tuple, facts.promote(items, actions, "k").collect()), key=repr)
+    monkeypatch.setattr(facts, "HOT", 3)
+    got = facts.promote(items, actions, "k")
+    assert sorted(map(tuple, got.collect()), key=repr) == want and len(want) == 24
