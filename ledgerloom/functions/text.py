@@ -135,16 +135,21 @@ def _count_in(words: Column, known: Sequence[str]) -> Column:
 
 def raw_language(col: Column) -> Column:
     """The language whose frequent words a text has most of; unknown for a short text or one without any."""
-    words = F.split(F.regexp_replace(F.lower(col), r"[\s.,;:!?()\"]+", " "), " ")
-    counts = F.array(*(_count_in(words, own) for own in LANGUAGE_WORDS.values()))
-    most = F.array_max(counts)
-    best = F.element_at(F.array(*map(F.lit, LANGUAGE_WORDS)), F.array_position(counts, most).cast("int"))
-    return F.when(F.coalesce(F.length(F.trim(col)), F.lit(0)) < LEAST_CHARS, "unknown").when(most == 0, "unknown").otherwise(best)
+    split = F.split(F.regexp_replace(F.lower(col), r"[\s.,;:!?()\"]+", " "), " ")
+    names = F.array(*map(F.lit, LANGUAGE_WORDS))
+    # each value is bound once: a text is split once, and counted once for each language
+    counts = F.transform(F.array(split), lambda words: F.array(*(_count_in(words, own) for own in LANGUAGE_WORDS.values())))
+    best = F.transform(counts, lambda n: F.when(F.array_max(n) > 0, F.element_at(names, F.array_position(n, F.array_max(n)).cast("int"))))
+    return F.when(F.coalesce(F.length(F.trim(col)), F.lit(0)) < LEAST_CHARS, "unknown").otherwise(F.coalesce(best.getItem(0), F.lit("unknown")))
 
 
 def language(col: Column) -> Column:
     """de for German and its neighbours, en for all else."""
-    return F.when(raw_language(col).isin("de", "nl", "af"), "de").otherwise("en")
+    return draft_language(raw_language(col))
+
+
+def draft_language(raw: Column) -> Column:
+    return F.when(raw.isin("de", "nl", "af"), "de").otherwise("en")
 
 
 def strip_signature(col: Column) -> Column:

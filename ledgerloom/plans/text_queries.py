@@ -195,7 +195,7 @@ select doc_id, case when length(b) < 50 then 'body_too_short' when regexp_matche
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document's text by its frequent words, raw and as drafts take it."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", text.raw_language(F.col("text")).alias("raw"), text.language(F.col("text")).alias("draft"))
+    return d.select("doc_id", text.raw_language(F.col("text")).alias("raw")).select("doc_id", "raw", text.draft_language(F.col("raw")).alias("draft"))
 
 
 _COUNTS = ", ".join(f"len(list_filter(w, lambda x: x in {own}))" for own in text.LANGUAGE_WORDS.values())

@@ -54,3 +54,10 @@ def test_language_against_the_column(spark):
     assert right > 0.95
     short = spark.createDataFrame([("kurz",), (None,), ("het huis is niet van mij en dat weet je wel",)], "t string").select(text.raw_language(F.col("t")), text.language(F.col("t"))).collect()
     assert [tuple(r) for r in short] == [("unknown", "en"), ("unknown", "en"), ("nl", "de")]
+
+
+def test_a_text_is_split_once_for_its_language(spark):
+    rows = [("the house and the garden of the city is on the hill",), ("der und die das ist nicht ein haus, der Garten",), ("x" * 40,), ("the",), (None,), ("",)]
+    out = spark.createDataFrame(rows, "t string").select(text.raw_language(F.col("t")).alias("raw"))
+    assert [r["raw"] for r in out.collect()] == ["en", "de", "unknown", "unknown", "unknown", "unknown"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
