@@ -5,8 +5,8 @@ SimHash over their distinct words. Lines of an edit similarity of 0.8 differ in
 a fifth of their words, that is in about 13 of the 64 bits, so no few blocks of
 those bits stay equal. The blocks of the pigeonhole are blocks of words instead: a
 line's distinct words are dealt out by their hashes to blocks of about ``WORDS`` = 4, a
-changed word changes at most two blocks, and lines meet under each of up to
-``MOST`` = 8 blocks that is equal. Short lines meet under their words less any one.
+changed word changes at most two blocks, and lines meet under each block
+that is equal; a line's blocks all count, however many it has. Short lines meet under their words less any one.
 Of those that meet, pairs within ``BITS`` = 13 bits and a fifth of their length
 are candidates. That join carries numbers only; the texts of just those
 lines then meet and are linked if their edit similarity is at least ``SIMILARITY``.
@@ -32,7 +32,7 @@ from ledgerloom.llm import components, store
 
 BITS = 13
 WORDS = 4  # of a block, about
-MOST = 8  # blocks of a line under which it meets others
+MOST = 1 << 10  # blocks that a line's words are dealt out to; with more words the blocks get larger
 LEAST = 2  # words in such a block
 SHORT = 9  # distinct words up to which a line meets others under its words less any one
 NEAR = 1.3  # a line with that many times the words of a block size, or fewer, meets under the size below as well
@@ -142,7 +142,7 @@ def block_keys(
 ) -> tuple[np.ndarray, np.ndarray]:
     """(keys, ends): the keys under which lines meet, from their sorted distinct words (line number over 40 bits of hash).
 
-    ``width``: words of a block, about; ``most``: blocks of a line under which it meets others.
+    ``width``: words of a block, about; ``most``: blocks of a line, a power of two. Beyond ``width * most`` words blocks get larger; none is left out.
     """
     line = (words >> np.uint64(40)).astype(np.int64)
     owner, keys = [], []
@@ -156,13 +156,13 @@ def block_keys(
     add(np.flatnonzero(short), 1, sums[short])
     less = np.flatnonzero((short & (count > 1))[line])
     add(line[less], 1, sums[line[less]] - mixed[less])
-    level = np.floor(np.log2(np.maximum(count, 1) / width)).astype(np.int64).clip(1)
+    level = np.floor(np.log2(np.maximum(count, 1) / width)).astype(np.int64).clip(1, most.bit_length() - 1)
     level[count < SHORT] = 0
     lower = np.where((level > 1) & (count < NEAR * width * 2.0**level), level - 1, 0)
     for size in (level, lower):
         own = size[line]
         block = (words & np.uint64((1 << 40) - 1)) >> (40 - own).astype(np.uint64)
-        at = np.flatnonzero((own > 0) & (block < most))
+        at = np.flatnonzero(own > 0)
         if not len(at):
             continue
         own, block, which = own[at], block[at].astype(np.int64), line[at]
@@ -299,7 +299,8 @@ def _texts_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
         F.collect_list(F.struct(F.col("first.line").alias("line"), "key", "fp")).alias("lines")
     )
     rows = docs.select(F.col(id_col).alias("id"), _doc_hash(text_col).alias("h"), F.col(text_col).alias("text"))
-    met = rows.join(lists, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("text", "lines")
+    # an exchange at any size, so that what is moved grows with the input and no list of a large corpus is broadcast
+    met = rows.join(lists.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,7 +398,7 @@ def _first_common(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _verify(least: float):
     def handle(group: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
-        """(a, b): links of similar lines that connect all that are linked within a group and meet nowhere before it."""
+        """(a, b): links that connect all similar lines of a group that meet nowhere before it, each line to the least key of those."""
         fp, size, here = rows["fp"].to_numpy().view(np.uint64), rows["size"].to_numpy(), rows["at"].to_numpy()
         counts = _letters(rows["norm"])
         lists = rows["keys"].combine_chunks()
@@ -406,7 +407,6 @@ def _verify(least: float):
         row = np.repeat(np.arange(len(fp)), count)
         every[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = lists.flatten().to_numpy()
         label = np.arange(len(fp))
-        links: list[tuple[int, int]] = []
 
         def find(i: int) -> int:
             while label[i] != i:
@@ -424,12 +424,18 @@ def _verify(least: float):
                 a, b = find(p), find(q)
                 if a != b and similar(norm[p], norm[q], least):
                     label[max(a, b)] = min(a, b)
-                    links.append((p, q))
             while (label[label] != label).any():
                 label = label[label]
-        ends = np.array(links, dtype=np.int64).reshape(-1, 2)
+        # stars of the least key: groups that share lines then agree on most ends, and the components take fewer rounds
         keys = rows["key"].combine_chunks()
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(ends[:, 0])), keys.take(pa.array(ends[:, 1]))], ["a", "b"])
+        order = pc.sort_indices(keys).to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        least_of = np.full(len(fp), len(fp))
+        np.minimum.at(least_of, label, rank)
+        least_of = least_of[label]
+        linked = np.flatnonzero(least_of != rank)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(linked)), keys.take(pa.array(order[least_of[linked]]))], ["a", "b"])
 
     return handle
 
@@ -526,7 +532,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = [c for c in docs.columns if c.lower() not in new]
     rows = docs.select(*own).withColumn("__h", _doc_hash(text_col))
     met = rows.join(
-        drops.select(F.col("id").alias("__id"), F.col("h").alias("__hash"), "drop"),
+        drops.select(F.col("id").alias("__id"), F.col("h").alias("__hash"), "drop").hint("merge"),
         F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left",
     ).select(*own, F.split(text_col, "\n", -1).alias("__lines"), F.col("drop").alias("__drop"))
     last = F.size("__lines") - 1

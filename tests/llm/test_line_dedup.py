@@ -234,3 +234,15 @@ def test_query(spark):
         lines, stay = text.split("\n"), left.split("\n") if left else []
         assert got[i] == (len(lines), len(lines) - len(stay), hashlib.sha256(left.encode()).hexdigest()), i
     assert sum(n for _, n, _ in got.values()) > 100
+
+
+def test_no_block_of_a_line_is_left_out():
+    """Lines that are alike only in words whose hashes are high have these in blocks of high numbers, under which they meet as well."""
+    rng = random.Random(8)
+    for n in (80, 300, 20_000):
+        every = sorted({words(rng, 1) + str(i).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(2 * n)}, key=lambda w: brute_words(w.encode()))
+        low, high = every[:n], every[n:]
+        a, b = (" ".join([*low[i :: 2], *high]).encode() for i in (0, 1))
+        _, _, keys, ends = L.Hasher().hashes([a, b])
+        x, y = (set(k.tolist()) for k in np.split(keys, ends[:-1]))
+        assert x & y and len(x) <= 2 * L.MOST, n
