@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.llm import components, store
-from ledgerloom.llm.jaccard import shingles
+from ledgerloom.llm.shingling import shingles
 
 WIDTH, PERCENT = 4, 85
 POSTINGS = 1 << 22  # n-grams of a fragment, about
