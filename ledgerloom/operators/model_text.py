@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources import scratch
+
 # Lengths kept of an open item's parts, and digits of a cost.
 OBSERVATION_CHARS, HYPOTHESIS_CHARS, REASON_CHARS = 1000, 1000, 500
 PLACES = 6
@@ -23,6 +25,8 @@ def parsed(answers: DataFrame, answer: str = "answer") -> DataFrame:
 
     Any JSON object is kept as it is, whatever its fields; later reads take what has the right type.
     """
+    # a file of few row groups would leave the parsing to few tasks
+    answers = answers.repartition(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     doc = F.try_parse_json(bare_json(F.col(answer)))
     kind = F.schema_of_variant(doc)
     is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
@@ -48,8 +52,10 @@ def proposals(docs: DataFrame, keys: list[str]) -> DataFrame:
 def open_items(docs: DataFrame, keys: list[str], answer: str = "answer") -> DataFrame:
     """(*keys, observation, hypothesis, reason): what a person must look at: answers that can't be read, facts that lack a part, and what the model itself was unsure of.
 
-    Blank observations are left out; each part is cut to its length.
+    Blank observations are left out; each part is cut to its length. The answers are read three times, so they are
+    parsed once and stored; only the text of one that can't be read goes with it.
     """
+    docs = scratch.keep(docs.select(*keys, F.when(F.col("error").isNotNull(), F.col(answer)).alias(answer), "doc", "error"), "answers")
     broken = docs.where("error is not null").select(*keys, F.col(answer).alias("observation"), F.lit(None).cast("string").alias("hypothesis"), F.col("error").alias("reason"))
     lacking = proposals(docs, keys).where("not ok").select(*keys, F.concat_ws(" ", "section", "field", "value").alias("observation"), F.col("value").alias("hypothesis"), F.lit("incomplete fact").alias("reason"))
     unsure = F.try_variant_get("doc", "$.uncertain", "array<variant>")

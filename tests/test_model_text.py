@@ -27,3 +27,11 @@ def test_answers(spark):
 def test_costs(spark):
     rows = spark.createDataFrame([(1_000_000, 0), (1, 1), (None, 3), (123, 456)], "a long, b long").select(model_text.token_cost(F.col("a"), F.col("b"), "0.3", "2.5").alias("c"))
     assert [r["c"] for r in rows.collect()] == [Decimal("0.300000"), Decimal("0.000003"), Decimal("0.000008"), Decimal("0.001177")]
+
+
+def test_answers_are_parsed_once_in_all_tasks(spark):
+    """Open items read stored answers three times, and parse none again; answers of one partition are parsed in all tasks."""
+    docs = model_text.parsed(spark.createDataFrame(ANSWERS, "id int, answer string").coalesce(1))
+    assert docs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = model_text.open_items(docs, ["id"])
+    assert "parse_json" not in items._jdf.queryExecution().optimizedPlan().toString().lower() and items.count() == 5
