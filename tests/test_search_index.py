@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,22 @@ def test_only_postings_are_read(spark):
     search_index.append(spark.createDataFrame(corpus(5, 2), DOCS), path, "one", "doc", "name", "alias", "facts", 4)
     got = search_index.search(search_index.read(spark, path, "int"), spark.createDataFrame([("q", ["heiz"])], "query string, terms array<string>"), 3, 4)
     assert "facts" not in got._jdf.queryExecution().optimizedPlan().toString().replace("index", "") and got.where(F.col("score") > 0).count() > 0
+
+
+def test_hits_stay_in_their_block(spark):
+    """k35_index_search, d24_cited_answers: lists meet by term, then by block; no hit is shuffled by its document."""
+    path = scratch.new_path(spark, "index")
+    search_index.append(spark.createDataFrame(corpus(50, 3), DOCS).repartition(5), path, "one", "doc", "name", "alias", "facts", 4)
+    got = search_index.search(search_index.read(spark, path, "int"), spark.createDataFrame([("q", ["heiz", "a"])], "query string, terms array<string>"), 3, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and not [x for x in plan.split("\n") if "hashpartitioning" in x and "doc" in x.split("hashpartitioning")[1]]
+    assert search_index.read(spark, path, "int").select("block").distinct().count() == 5
+
+
+def test_lists_of_a_block():
+    rows = pa.RecordBatch.from_arrays([
+        pa.array([7, 8, 9]), pa.array([["a", "b", "a"], None, []]), pa.array([["", "b"], ["b"], None]), pa.array([[], ["b", "b"], [""]]), pa.array([["a b a"], [None], [""]]),
+    ], ["doc", "w0", "w1", "w2", "w3"])
+    got = {(r["term"], r["field"]): [(h["doc"], h["n"]) for h in r["hits"]] for r in search_index._lists(rows, 3).to_pylist()}
+    assert got == {("a", 0): [(7, 2)], ("b", 0): [(7, 1)], ("b", 1): [(7, 1), (8, 1)], ("b", 2): [(8, 2)], ("a b a", 3): [(7, 1)]}
+    assert search_index._lists(rows.slice(2), 3).num_rows == 0
