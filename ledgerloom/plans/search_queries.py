@@ -42,7 +42,7 @@ SEARCH = f"with {_SEARCH} select query, doc, score, place from r where place <=
 
 def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer of each query that cites some of what was found and some that wasn't."""
-    found = _found(spark, sf_dir)
+    found = scratch.keep(_found(spark, sf_dir), "found")  # read twice, searched once
     first = found.groupBy("query").agg(F.sum(F.when(F.col("place") == 2, F.col("doc"))).alias("b"), F.sum(F.when(F.col("place") == 1, F.col("doc"))).alias("a"))
     cite = lambda c: F.concat(F.lit("[source: "), c.cast("string"), F.lit("]"))
     answers = first.select("query", F.concat_ws(" ", F.lit("so"), cite(F.col("b")), F.lit("and"), cite(F.col("a")), F.lit("or"), cite(F.lit(-1)), cite(F.col("b"))).alias("answer"))

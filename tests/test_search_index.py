@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import search_index
+from ledgerloom.plans import registry
 from ledgerloom.sources import scratch
 
 DOCS = "doc int, name string, alias string, facts string"
@@ -79,3 +80,9 @@ def test_lists_of_a_block():
     got = {(r["term"], r["field"]): [(h["doc"], h["n"]) for h in r["hits"]] for r in search_index._lists(rows, 3).to_pylist()}
     assert got == {("a", 0): [(7, 2)], ("b", 0): [(7, 1)], ("b", 1): [(7, 1), (8, 1)], ("b", 2): [(8, 2)], ("a b a", 3): [(7, 1)]}
     assert search_index._lists(rows.slice(2), 3).num_rows == 0
+
+
+def test_cited_answers_search_once(spark):
+    """d24_cited_answers: what was found is stored, so that both of its uses read it."""
+    plan = registry.queries()["d24_cited_answers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "hits" not in plan
