@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
@@ -100,23 +100,28 @@ def coverage_of(scopes: DataFrame, facts: DataFrame, expected: DataFrame) -> Dat
     )
 
 
-def context_lines(scopes: DataFrame, events: DataFrame) -> DataFrame:
-    """The newest events of the building and the association above each scope."""
-    top = relate.newest(events, KEY, [F.desc("at"), F.desc("event_id")], CONTEXT_EVENTS).where("kept")
+def newest_events(events: DataFrame) -> DataFrame:
+    """Each scope's ``CONTEXT_EVENTS`` newest events, with their place. Every task keeps no more than those of a scope before they meet."""
+    by = Window.partitionBy(*KEY).orderBy(F.desc("at"), F.desc("event_id"))
+    return events.withColumn("place", F.row_number().over(by)).where(F.col("place") <= CONTEXT_EVENTS).withColumn("place", F.col("place").cast("long"))
+
+
+def context_lines(scopes: DataFrame, newest: DataFrame) -> DataFrame:
+    """The ``newest_events`` of the building and the association above each scope, made one text before they meet the scopes below."""
     body = context_body(F.col("source"), F.col("filename"), F.col("head_chars"), F.col("content"))
     line = F.concat(F.lit("- *"), F.date_format("at", "yyyy-MM-dd"), F.lit("* · "), F.col("source"), F.lit(" — "), body, F.lit(" ["), redirect_target(F.col("source"), F.col("event_id"), F.col("filename")), F.lit("]"))
-    top = top.select(F.col("scope").alias("__scope"), F.col("id").alias("__id"), "place", line.alias("line"))
+    lines = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
+    top = newest.groupBy(F.col("scope").alias("__scope"), F.col("id").alias("__id")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("said"))
     out = []
     for part, above in ((0, "building"), (1, "association")):
         near = scopes.where(F.col(above).isNotNull() & (F.col("scope") != above)).select(*KEY, F.col(above).alias("__id"))
         rows = near.join(top.where(F.col("__scope") == above), "__id")
-        out.append(_lines(rows, 4, F.lit(""), part, F.col("place"), F.lit(""), F.col("line")))
-        out.append(_lines(rows.select(*KEY).distinct(), 4, F.lit(""), part, F.lit(0), F.lit(""), F.lit(f"## Context: {above}")))
+        out.append(_lines(rows, 4, F.lit(""), part, F.lit(0), F.lit(""), F.concat_ws("\n", F.lit(f"## Context: {above}"), "said")))
     return reduce(DataFrame.unionByName, out)
 
 
-def documents(scopes: DataFrame, facts: DataFrame, open_items: DataFrame, rejections: DataFrame, events: DataFrame, expected: DataFrame) -> DataFrame:
-    """(scope, id, content, n_facts) of every scope. ``facts`` are ``tiered_facts``; ``scopes`` (scope, id, name, address, building, association)."""
+def documents(scopes: DataFrame, facts: DataFrame, open_items: DataFrame, rejections: DataFrame, newest: DataFrame, expected: DataFrame) -> DataFrame:
+    """(scope, id, content, n_facts) of every scope. ``facts`` are ``tiered_facts``, ``newest`` are ``newest_events``; ``scopes`` (scope, id, name, address, building, association)."""
     tier = lambda t: F.count_if(F.col("tier") == t).alias(t)
     sums = facts.groupBy(*KEY).agg(F.count("*").alias("n_facts"), F.floor(F.avg("confidence")).alias("mean"), F.count_if(F.col("confidence") < LOW).alias("low"), tier("active"), tier("recent"), tier("archive"))
     n = lambda df, name: df.groupBy(*KEY).agg(F.count("*").alias(name))
@@ -131,13 +136,13 @@ def documents(scopes: DataFrame, facts: DataFrame, open_items: DataFrame, reject
     covered = F.concat(F.lit("## Coverage\n"), s("present"), F.lit(" of "), s("expected"), F.when(F.col("missing") != "", F.concat(F.lit("\nmissing: "), F.col("missing"))).otherwise(""))
     lines = [
         _lines(head, 0, F.lit(""), 0, F.lit(0), F.lit(""), front), _lines(head.where("expected > 0"), 3, F.lit(""), 0, F.lit(0), F.lit(""), covered),
-        fact_lines(facts, open_items, rejections), context_lines(scopes, events),
+        fact_lines(facts, open_items, rejections), context_lines(scopes, newest),
     ]
     whole = reduce(DataFrame.unionByName, lines).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*_PLACE, "line"))).alias("lines"))
     return head.select(*KEY, "n_facts").join(whole, KEY).select(*KEY, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"), "n_facts")
 
 
-def fingerprints(scopes: DataFrame, facts: DataFrame, open_items: DataFrame, rejections: DataFrame, events: DataFrame, expected: DataFrame) -> DataFrame:
+def fingerprints(scopes: DataFrame, facts: DataFrame, open_items: DataFrame, rejections: DataFrame, newest: DataFrame, expected: DataFrame) -> DataFrame:
     """(scope, id, fingerprint): changes with any row that the scope's document shows, also with those of the scopes above it."""
     def digest(df: DataFrame, name: str) -> DataFrame:
         h = F.xxhash64(F.lit(name), *(c for c in df.columns if c not in KEY))
@@ -145,7 +150,7 @@ def fingerprints(scopes: DataFrame, facts: DataFrame, open_items: DataFrame, rej
 
     own = [digest(df, name) for df, name in ((scopes, "scope"), (facts, "facts"), (open_items, "open"), (rejections, "rejections"))]
     # only the newest events above are shown, so older ones don't make a document stale
-    top = digest(relate.newest(events, KEY, [F.desc("at"), F.desc("event_id")], CONTEXT_EVENTS).where("kept"), "events")
+    top = digest(newest, "events")
     for above in ("building", "association"):
         near = scopes.where(F.col(above).isNotNull() & (F.col("scope") != above)).select(*KEY, F.col(above).alias("__id"))
         own.append(near.join(top.where(F.col("scope") == above).select(F.col("id").alias("__id"), "h"), "__id").select(*KEY, "h"))
@@ -164,13 +169,17 @@ def materialise(
     A document written again has the next generation; one of a scope that is gone goes.
     """
     tiered = scratch.keep(tiered_facts(facts, as_of), "tiered")
-    now = fingerprints(scopes, tiered, open_items, rejections, events, expected)
-    there = keyed.read(spark, root) if keyed.version(spark, root) else spark.createDataFrame([], FILES)
+    newest = scratch.keep(newest_events(events), "newest-events")
+    now = fingerprints(scopes, tiered, open_items, rejections, newest, expected)
+    held = keyed.version(spark, root)
+    there = keyed.read(spark, root) if held else spark.createDataFrame([], FILES)
     old = there.select(*KEY, F.col("fingerprint").alias("__was"), F.col("generation").alias("__generation"))
     stale = scratch.keep(now.join(old, KEY, "left").where(~F.col("fingerprint").eqNullSafe(F.col("__was"))), "stale")
-    only = lambda df, name: scratch.keep(df.join(stale.select(*KEY), KEY, "left_semi"), name)
-    written = documents(only(scopes, "scopes"), only(tiered, "facts"), only(open_items, "open-items"), only(rejections, "rejections"), events, expected)
+    # at first all scopes are stale, and rows of others have no document that they could come into
+    only = lambda df, name: scratch.keep(df.join(stale.select(*KEY), KEY, "left_semi"), name) if held else df
+    written = documents(only(scopes, "scopes"), only(tiered, "facts"), only(open_items, "open-items"), only(rejections, "rejections"), newest, expected)
     new = written.join(stale, KEY).select(*KEY, "fingerprint", "content", "n_facts", (F.coalesce("__generation", F.lit(0)) + 1).cast("long").alias("generation"))
+    new = scratch.keep(new, "documents")  # the merge reads them for their buckets and for their rows
     gone = old.join(scopes.select(*KEY), KEY, "left_anti").select(*KEY)
     changes = new.withColumn(keyed.DELETE, F.lit(False)).unionByName(gone.withColumn(keyed.DELETE, F.lit(True)), allowMissingColumns=True)
     return keyed.merge(spark, root, changes.select(*(c.split()[0] for c in FILES.split(", ")), keyed.DELETE), KEY, batch, buckets=buckets)

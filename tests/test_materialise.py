@@ -69,3 +69,20 @@ def test_context_bodies_and_targets(spark):
     got = df.select(materialise.context_body(F.col("source"), F.col("filename"), F.col("head"), F.col("text")).alias("b"), materialise.redirect_target(F.col("source"), F.lit(4), F.nullif("filename", F.lit(""))).alias("t")).collect()
     assert [r["b"] for r in got] == ["Invoice a.pdf — awaiting extraction", "Letter b.pdf — awaiting extraction", "two lines", "t", "y" * 90, "(no body)"]
     assert [r["t"] for r in got] == ["/files/a.pdf", "/files/b.pdf", "/files/b.pdf", "/events/4", "/events/4", "/web/4"]
+
+
+def test_a_document_is_made_once_and_only_the_newest_events_meet(spark, monkeypatch):
+    """k18_materialised: the merge reads stored documents, and a task keeps a scope's newest events only."""
+    plans, merge = [], keyed.merge
+
+    def watched(spark, root, changes, *args, **kwargs):
+        plans.append(changes._jdf.queryExecution().optimizedPlan().toString())
+        return merge(spark, root, changes, *args, **kwargs)
+
+    monkeypatch.setattr(keyed, "merge", watched)
+    first = run(spark, scratch.new_path(spark, "files"), "one")
+    assert len(first) == 5 and "collect_list" not in plans[0]
+    events = spark.createDataFrame(ROWS["events"], SCHEMAS["events"])
+    assert "WindowGroupLimit" in materialise.newest_events(events)._jdf.queryExecution().executedPlan().toString()
+    stray = [*ROWS["facts"], ("unit", 99, "lease", "rent", "1", 90, "email", NOW, 70)]  # of no scope that is there
+    assert run(spark, scratch.new_path(spark, "files"), "one", facts=stray) == first
