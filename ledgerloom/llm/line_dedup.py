@@ -11,8 +11,9 @@ Of those that meet, pairs within ``BITS`` = 13 bits and a fifth of their length
 are candidates. That join carries numbers only; the texts of just those
 lines then meet and are linked if their edit similarity is at least ``SIMILARITY``.
 A pair is compared under the first key that its lines have in common, and only while it
-isn't connected there yet, so a large group costs about one comparison a line. A key's rows are counted before they meet, and
-over ``CHUNK`` of them are dealt out as pairs of chunks: no task gets all of a key
+isn't connected there yet, so a large group costs about one comparison a line. Keys first meet as packed numbers, which leaves
+the lines with a possible partner. Of those a key's rows are counted before their texts meet, and
+over ``CHUNK`` of them are dealt out as pairs of chunks: no task gets all texts of a key
 and no pair is lost. What is lost are pairs that share no block; tests measure it.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,14 @@ SHORT = 9  # distinct words up to which a line meets others under its words less
 NEAR = 1.3  # a line with that many times the words of a block size, or fewer, meets under the size below as well
 SIMILARITY = 0.8
 CHUNK = 4096  # rows of one key that meet in one task
-PIECE = 1 << 22  # bytes of lines hashed at once
+PIECE = 1 << 19  # bytes of lines hashed at once, so few that the arrays stay in the processor's cache
 LANE = 255  # words counted in one byte
 KINDS = 32  # of letters that are counted to tell lines apart
 LETTERS = 1 << 20  # of lines whose letters are counted at once, about
-NO_KEY = np.iinfo(np.int64).max
+DEALT = 1 << 20  # keys that are dealt out to tasks at once, about
+PROBES = 1 << 20  # keys that are looked up at once, about
+OPEN = 256  # pairs whose distances are measured together
+BITS_HELD = 1 << 16  # of the bit vectors that are side by side
 
 _BASE = 0x9E3779B97F4A7C15
 #: ASCII punctuation and control characters are spaces; line breaks and all else stay.
@@ -200,6 +204,35 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
+def edit_distances(pairs: list[tuple[str, str]]) -> list[int]:
+    """The Levenshtein distances of pairs, by the bit vectors of ``edit_distance`` side by side in one integer."""
+    full, low, at, ends, steps = 0, 0, 0, [], []
+    for k, (a, b) in enumerate(pairs):
+        if len(a) > len(b):
+            a, b = b, a
+        width = len(a) // 8 + 1  # bytes, with a bit at least that takes what is carried
+        where: dict[str, int] = {}
+        for i, c in enumerate(a):
+            where[c] = where.get(c, 0) | 1 << i
+        eq, none = {c: x.to_bytes(width, "little") for c, x in where.items()}, bytes(width)
+        steps.append(chain([eq.get(c, none) for c in b], repeat(none)))
+        full |= ((1 << len(a)) - 1) << at
+        low |= bool(a) << at
+        ends.append((len(b), at, (1 << len(a)) - 1, k))
+        at += 8 * width
+    out, plus, minus, done = [0] * len(pairs), full, 0, 0
+    for n, at, mask, k in sorted(ends):
+        for step in islice(zip(*steps, strict=True), n - done):
+            eq = int.from_bytes(b"".join(step), "little")
+            x = eq | minus
+            d = (((x & plus) + plus) ^ plus | x) & full
+            up, down = ((minus | (full ^ (d | plus))) << 1 | low) & full, (d & plus) << 1 & full
+            plus, minus = down | (full ^ (d | up)), up & d
+        done = n
+        out[k] = n + (plus >> at & mask).bit_count() - (minus >> at & mask).bit_count()
+    return out
+
+
 def _anchored(x: list[str], y: list[str]) -> int:
     """An upper bound of the distance of two lists of words: those that occur once in both stay, as many as have one order, what is between them is replaced, word for word where both have as many."""
     once: dict[str, int] = {}
@@ -232,13 +265,12 @@ def _anchored(x: list[str], y: list[str]) -> int:
     return cost + between(0, 0, i, j)
 
 
-def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether 1 - distance / longer length is at least ``least``, for words joined by spaces.
+def _bounded(a: str, b: str, most: int) -> tuple[str, str] | bool:
+    """Whether the distance is at most ``most``, or where the bounds leave that open, what is left to measure.
 
     Common first and last words don't count; changing word for word where both
-    have as many, and keeping what both have once, bound the distance from above. Only what is left open is measured.
+    have as many, and keeping what both have once, bound the distance from above.
     """
-    most = int((1 - least) * max(len(a), len(b)) + 1e-9)
     if abs(len(b) - len(a)) > most:
         return False
     x, y = a.split(" "), b.split(" ")
@@ -253,7 +285,18 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     if _anchored(x, y) <= most:
         return True
     a, b = " ".join(x), " ".join(y)
-    return max(len(a), len(b)) <= most or edit_distance(a, b, most) <= most
+    return max(len(a), len(b)) <= most or (a, b)
+
+
+def _most(a: str, b: str, least: float) -> int:
+    return int((1 - least) * max(len(a), len(b)) + 1e-9)
+
+
+def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
+    """Whether 1 - distance / longer length is at least ``least``, for words joined by spaces; only what the bounds leave open is measured."""
+    most = _most(a, b, least)
+    found = _bounded(a, b, most)
+    return found if isinstance(found, bool) else edit_distance(*found, most) <= most
 
 
 def _doc_hash(text: str):
@@ -261,7 +304,7 @@ def _doc_hash(text: str):
 
 
 def _line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, line, key binary, fp long, size int, at array<long>) of every line that has a word; ``h`` hashes the whole text."""
+    """(id, h, line, key binary, fp long, size int, at binary) of every line that has a word; ``h`` hashes the whole text, ``at`` are the bytes of its keys, eight each."""
     rows = docs.select(F.col(id_col).alias("id"), _doc_hash(text_col).alias("h"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,16 +324,16 @@ def _line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if lines and (held >= PIECE or i + 1 == batch.num_rows):
                     take = pa.array(which, pa.int64())
                     fp, size, keys, ends = hasher.hashes(lines)
-                    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                    offsets = pa.py_buffer(8 * np.concatenate([[0], ends]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()),
                         pa.array([xxh3_128_digest(x) for x in lines], pa.binary()), pa.array(fp.view(np.int64)), pa.array(size),
-                        pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
+                        pa.Array.from_buffers(pa.binary(), len(lines), [None, offsets, pa.py_buffer(np.ascontiguousarray(keys))]),
                     ], ["id", "h", "line", "key", "fp", "size", "at"])
                     which, number, lines, held = [], [], [], 0
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, h long, line int, key binary, fp long, size int, at array<long>")
+    return rows.mapInArrow(run, f"id {kind}, h long, line int, key binary, fp long, size int, at binary")
 
 
 def _texts_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -299,8 +342,8 @@ def _texts_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
         F.collect_list(F.struct(F.col("first.line").alias("line"), "key", "fp")).alias("lines")
     )
     rows = docs.select(F.col(id_col).alias("id"), _doc_hash(text_col).alias("h"), F.col(text_col).alias("text"))
-    # an exchange at any size, so that what is moved grows with the input and no list of a large corpus is broadcast
-    met = rows.join(lists.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("text", "lines")
+    # an exchange at any size, so that what is moved grows with the input and no list of a large corpus is broadcast; the lists are hashed, no text is sorted
+    met = rows.join(lists.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,18 +403,70 @@ def _near(fp: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, least:
     return (np.bitwise_count(fp[i] ^ fp[j]) <= BITS) & (np.abs(size[i] - size[j]) <= most)
 
 
+#: A line under one of its keys, as tasks get it from others; ``k`` tells lines of one fingerprint apart.
+_PLACE = np.dtype([("at", "<i8"), ("fp", "<u8"), ("k", "<i8"), ("size", "<i4")])
+
+
+def _deal(tasks: int):
+    def deal(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.take(pa.array(np.unique(rows["k"].to_numpy(), return_index=True)[1]))
+        lists = rows["at"].to_pylist()
+        row = np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists])
+        at = np.frombuffer(b"".join(lists), dtype="<i8")
+        task = (at.view(np.uint64) >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)
+        by = np.argsort(task.astype(np.int32), kind="stable")
+        places = np.empty(len(at), dtype=_PLACE)
+        places["at"] = at[by]
+        for n in ("fp", "k", "size"):
+            places[n] = rows[n].to_numpy().astype(_PLACE[n])[row[by]]
+        ends = np.searchsorted(task[by], np.arange(1, tasks + 1, dtype=np.uint64) - np.uint64(1), side="right")
+        out = [places[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(tasks, dtype=np.int32)), pa.array(out, pa.binary())], ["task", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(task, places): the lines' keys for each task, which has a range of keys; repeats of a line are left out where they are seen."""
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += pc.sum(pc.binary_length(batch["at"])).as_py() or 0
+            if n >= 8 * DEALT:
+                yield deal(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield deal(pa.Table.from_batches(held))
+
+    return run
+
+
 def _partners(least: float):
-    def handle(group: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
-        """(fp, at): fingerprints that have a possible partner in their group."""
-        fp, size = rows["fp"].to_numpy().view(np.uint64), rows["size"].to_numpy()
-        found = np.zeros(len(fp), dtype=bool)
-        for i, j in _pairs(group, len(fp)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(fp, at): lines that have a possible partner under a key, from the places of the task's keys; of a key with over CHUNK lines all, which are compared later."""
+        places = np.frombuffer(b"".join(x for b in batches for x in b["places"].to_pylist()), dtype=_PLACE)
+        if not len(places):
+            return
+        at = places["at"].copy()
+        by = np.argsort(at)
+        same = at[by][1:] == at[by][:-1]
+        again = by[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # most keys have one line
+        at, fp, size, k = (places[n][again] for n in ("at", "fp", "size", "k"))
+        by = np.lexsort((k, fp, at))
+        at, fp, size, k = (x[by] for x in (at, fp, size, k))
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (at[1:] != at[:-1]) | (fp[1:] != fp[:-1]) | (k[1:] != k[:-1])
+        at, fp, size = at[new], fp[new], size[new]
+        opens = np.ones(len(at), dtype=bool)
+        opens[1:] = at[1:] != at[:-1]
+        group = np.cumsum(opens) - 1
+        found = (np.bincount(group) > CHUNK)[group] if len(at) else opens
+        few = np.flatnonzero(~found)
+        for i, j in _pairs(group[few], len(few)):
+            i, j = few[i], few[j]
             near = _near(fp, size, i, j, least)
             found[i[near]] = True
             found[j[near]] = True
-        return pa.RecordBatch.from_arrays([pa.array(fp[found].view(np.int64)), pa.array(rows["at"].to_numpy()[found])], ["fp", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[found].view(np.int64)), pa.array(at[found])], ["fp", "at"])
 
-    return handle
+    return run
 
 
 def _letters(lines: pa.ChunkedArray) -> np.ndarray:
@@ -387,13 +482,37 @@ def _letters(lines: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def _first_common(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least key that rows i and j have in common; rows of ``keys`` are padded with NO_KEY."""
-    out = np.empty(len(i), dtype=np.int64)
-    for at in range(0, len(i), 1 << 14):
-        a, b = keys[i[at : at + (1 << 14)]], keys[j[at : at + (1 << 14)]]
-        out[at : at + (1 << 14)] = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, NO_KEY).min(axis=1)
-    return out
+class _Earlier:
+    """Whether two rows have a key in common that is less than the one they meet under."""
+
+    def __init__(self, lists: pa.ListArray, here: np.ndarray):
+        row = np.repeat(np.arange(len(here)), pc.list_value_length(lists).to_numpy().astype(np.int64))
+        keys = lists.flatten().to_numpy()
+        less = keys < here[row]
+        row = row[less]
+        every, self.key = np.unique(keys[less], return_inverse=True)
+        self.kinds = max(len(every), 1)
+        self.codes = np.sort(row * self.kinds + self.key)
+        self.count = np.bincount(row, minlength=len(here))
+        self.first = np.cumsum(self.count) - self.count
+        self.marks = np.zeros(len(here), dtype=np.uint64)
+        np.bitwise_or.at(self.marks, row, np.uint64(1) << (_mix(every.view(np.uint64)) >> np.uint64(58))[self.key])
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), dtype=bool)
+        open_ = np.flatnonzero(self.marks[i] & self.marks[j])
+        fewer = self.count[i[open_]] <= self.count[j[open_]]
+        a, b = np.where(fewer, i[open_], j[open_]), np.where(fewer, j[open_], i[open_])
+        part = np.cumsum(self.count[a]) // PROBES
+        bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(a) else [0]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            n = self.count[a[lo:hi]]
+            pair = np.repeat(np.arange(hi - lo), n)
+            own = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + self.first[a[lo:hi]][pair]
+            code = b[lo:hi][pair] * self.kinds + self.key[own]
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            out[open_[lo:hi]] = np.bincount(pair, self.codes[at] == code, hi - lo) > 0
+        return out
 
 
 def _verify(least: float):
@@ -401,11 +520,7 @@ def _verify(least: float):
         """(a, b): links that connect all similar lines of a group that meet nowhere before it, each line to the least key of those."""
         fp, size, here = rows["fp"].to_numpy().view(np.uint64), rows["size"].to_numpy(), rows["at"].to_numpy()
         counts = _letters(rows["norm"])
-        lists = rows["keys"].combine_chunks()
-        count = pc.list_value_length(lists).to_numpy().astype(np.int64)
-        every = np.full((len(fp), int(count.max(initial=0))), NO_KEY)
-        row = np.repeat(np.arange(len(fp)), count)
-        every[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = lists.flatten().to_numpy()
+        earlier = _Earlier(rows["keys"].combine_chunks(), here)
         label = np.arange(len(fp))
 
         def find(i: int) -> int:
@@ -414,18 +529,47 @@ def _verify(least: float):
                 i = label[i]
             return i
 
+        def link(p: int, q: int) -> None:
+            a, b = find(p), find(q)
+            label[max(a, b)] = min(a, b)
+
+        def measure(pairs: list) -> None:
+            """Links those of (p, q, most, (text, text)) that are similar, texts of about one length at a time."""
+            pairs = sorted((x for x in pairs if find(x[0]) != find(x[1])), key=lambda x: min(map(len, x[3])))
+            while pairs:
+                n, held = 0, 0
+                while n < len(pairs) and (n == 0 or held + min(map(len, pairs[n][3])) <= BITS_HELD):
+                    held += min(map(len, pairs[n][3])) + 8
+                    n += 1
+                part, pairs = pairs[:n], pairs[n:]
+                distances = edit_distances([x[3] for x in part]) if n > 1 else [edit_distance(*part[0][3], part[0][2])]
+                for (p, q, most, _), distance in zip(part, distances, strict=True):
+                    if distance <= most:
+                        link(p, q)
+
         norm = rows["norm"].to_pylist()
+        left: list = []
         for i, j in _pairs(group, len(fp)):
             near = np.flatnonzero((label[i] != label[j]) & _near(fp, size, i, j, least))
-            near = near[_first_common(every, i[near], j[near]) == here[i[near]]]  # under other keys they meet as well
             apart = np.abs(counts[i[near]] - counts[j[near]]).sum(axis=1)  # an edit changes two of the counts at most
             near = near[apart <= 2 * ((1 - least) * np.maximum(size[i[near]], size[j[near]]) + 1e-9)]
+            near = near[~earlier(i[near], j[near])]  # under other keys they meet as well
             for p, q in zip(i[near].tolist(), j[near].tolist(), strict=True):
-                a, b = find(p), find(q)
-                if a != b and similar(norm[p], norm[q], least):
-                    label[max(a, b)] = min(a, b)
+                if find(p) != find(q):
+                    most = _most(norm[p], norm[q], least)
+                    found = _bounded(norm[p], norm[q], most)
+                    if found is True:
+                        link(p, q)
+                    elif found:
+                        left.append((p, q, most, found))
+                        if len(left) >= OPEN:
+                            measure(left)
+                            left = []
             while (label[label] != label).any():
                 label = label[label]
+        measure(left)
+        while (label[label] != label).any():
+            label = label[label]
         # stars of the least key: groups that share lines then agree on most ends, and the components take fewer rounds
         keys = rows["key"].combine_chunks()
         order = pc.sort_indices(keys).to_numpy()
@@ -456,33 +600,36 @@ def _meet(rows: DataFrame, counts: DataFrame, spread: str, handle: Callable, sch
     return dealt.mapInArrow(_whole_groups(("at", "lo", "hi"), handle), schema)
 
 
-def similar_links(firsts: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
-    """(a, b) keys of similar lines, from distinct (key, fp, size, at, first); ``texts_of(wanted)`` gives (key, fp, norm) of such rows."""
+def near_lines(placed: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(fp, at) of the lines that have a possible partner under a key, from (key, fp, size, at binary); a line may be there more than once."""
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # keys meet as packed numbers, one row for each task and piece of input: a row for each key would be most of the work
+    dealt = placed.select("fp", "size", "at", F.xxhash64("key").alias("k")).mapInArrow(_deal(tasks), "task int, places binary")
+    near = dealt.repartitionById(tasks, "task").select("places").mapInArrow(_partners(least), "fp long, at long")
+    return store.keep(near, "near-lines")
+
+
+def similar_links(firsts: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY, wanted: DataFrame | None = None) -> DataFrame:
+    """(a, b) keys of similar lines, from distinct (key, fp, size, at, first); ``texts_of(wanted)`` gives (key, fp, norm) of such rows.
+
+    ``wanted``: what near_lines() gives for them, where ``firsts`` has no ``at``.
+    """
+    if wanted is None:
+        packed = F.concat_ws("", F.transform("at", lambda x: F.lpad(F.hex(x), 16, "0")))
+        wanted = near_lines(firsts.withColumn("at", F.unhex(packed)), least)
     spark = firsts.sparkSession
-    placed = firsts.select("fp", "size", F.explode("at").alias("at"))
-    # counted first: partial counts meet, not a key's rows; of keys with the same rows one will do
-    # the same if their fingerprints are, with how often each occurs: a sum of hashes, which equal ones don't cancel in;
-    # a key of so many rows that it may not fit in a long is only like itself
-    ends = placed.groupBy("at").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.try_sum(F.shiftright(F.xxhash64("fp"), 12)).alias("x"))
-    ends = ends.where("n > 1").withColumn("x", F.coalesce("x", "at"))
-    ends = store.keep(ends.groupBy("n", "a", "b", "x").agg(F.min("at").alias("at")), "line-blocks")
-    store.release(spark)
-    several = store.keep(ends.where("n > 2").select("at", "n"), "large-line-blocks")
-    near = _meet(placed, several, "fp", _partners(least), "fp long, at long")
-    two = ends.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)  # these need no meeting
-    wanted = near.unionByName(two.select(F.col("a").alias("fp"), "at")).unionByName(two.select(F.col("b").alias("fp"), "at"))
-    wanted = store.keep(wanted.distinct(), "near-lines")
-    store.drop(ends)
-    store.drop(several)
+    wanted, repeated = store.keep(wanted.distinct(), "near-lines"), wanted
+    store.drop(repeated)
     store.release(spark)
-    lines = firsts.join(wanted.select("fp").distinct(), "fp", "left_semi").select("key", "fp", "size", "first")
+    lines = firsts.join(wanted.select("fp").distinct().hint("shuffle_hash"), "fp", "left_semi").select("key", "fp", "size", "first")
     texts = store.keep(texts_of(lines).groupBy("key", "fp").agg(F.first("norm").alias("norm")), "near-texts")
     store.release(spark)
+    # of keys with the same lines one will do
     members = texts.select("key", "fp").join(wanted, "fp").groupBy("at").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")
     )
     counts = store.keep(members.where("n > 1").groupBy("n", "x", "y").agg(F.min("at").alias("at")).select("at", "n"), "near-blocks")
-    keys = wanted.groupBy("fp").agg(F.collect_set("at").alias("keys"))  # a line has few
+    keys = wanted.join(counts.select("at"), "at").groupBy("fp").agg(F.collect_list("at").alias("keys"))  # a line has few
     met = texts.withColumn("size", F.length("norm")).join(keys, "fp").select("key", "fp", "size", "norm", "keys", F.explode("keys").alias("at"))
     links = store.keep(_meet(met, counts, "key", _verify(least), "a binary, b binary"), "line-links")
     for table in (wanted, texts, counts):
@@ -503,36 +650,40 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     lines = store.keep(_line_rows(docs, id_col, text_col), "lines")
     firsts = store.keep(
-        lines.groupBy("key").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("at").alias("at"), F.count("*").alias("n")),
+        lines.groupBy("key").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.count("*").alias("n")),
         "distinct-lines",
     )
     store.release(spark)
+    wanted = near_lines(lines, least)
     places = store.keep(lines.select("id", "h", "line", "key"), "line-places")  # what is read of them from here on
     store.drop(lines)
+    store.release(spark)
     lines = places
-    links = similar_links(firsts, lambda wanted: _texts_of(docs, id_col, text_col, wanted), least)
+    links = similar_links(firsts, lambda near: _texts_of(docs, id_col, text_col, near), least, wanted)
     roots = store.keep(components.components(links), "line-groups")
     store.drop(links)
     store.release(spark)
-    named = firsts.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", "first", "n", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked")
-    )
-    least_of = named.where("linked").groupBy("root").agg(F.min("first").alias("least"))
-    stays = named.join(least_of, "root", "left").select("key", "n", F.coalesce("least", "first").alias("stays"), "first")
     # a line that is its own group and occurs once is never asked for
+    named = firsts.join(roots.withColumnRenamed("node", "key").hint("shuffle_hash"), "key", "left").where("n > 1 or root is not null")
+    named = store.keep(named.select("key", "first", "n", "root"), "line-roots")
+    store.drop(roots)
+    store.drop(firsts)
+    # stored, so that the join has plain exchanges on both sides, which Spark can split at a large group
+    least_of = store.keep(named.where("root is not null").groupBy("root").agg(F.min("first").alias("least")), "line-leasts")
+    stays = named.join(least_of, "root", "left").select("key", "n", F.coalesce("least", "first").alias("stays"), "first")
     shared = stays.where("n > 1 or stays <> first").select("key", "stays")
-    gone = lines.select("id", "h", "line", "key").join(shared, "key").where(
+    gone = lines.select("id", "h", "line", "key").join(shared.hint("shuffle_hash"), "key").where(
         ~F.struct("id", "h", "line").eqNullSafe(F.col("stays"))
     )
     drops = store.keep(gone.groupBy("id", "h").agg(F.collect_set("line").alias("drop")), "line-drops")
-    for table in (lines, firsts, roots):
+    for table in (lines, named, least_of):
         store.drop(table)
     store.release(spark)
     new = ("n_lines", "n_removed", "kept_text")
     own = [c for c in docs.columns if c.lower() not in new]
     rows = docs.select(*own).withColumn("__h", _doc_hash(text_col))
     met = rows.join(
-        drops.select(F.col("id").alias("__id"), F.col("h").alias("__hash"), "drop").hint("merge"),
+        drops.select(F.col("id").alias("__id"), F.col("h").alias("__hash"), "drop").hint("shuffle_hash"),
         F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left",
     ).select(*own, F.split(text_col, "\n", -1).alias("__lines"), F.col("drop").alias("__drop"))
     last = F.size("__lines") - 1

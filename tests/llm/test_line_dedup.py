@@ -246,3 +246,37 @@ def test_no_block_of_a_line_is_left_out():
         _, _, keys, ends = L.Hasher().hashes([a, b])
         x, y = (set(k.tolist()) for k in np.split(keys, ends[:-1]))
         assert x & y and len(x) <= 2 * L.MOST, n
+
+
+def test_distances_of_many_pairs_match_those_of_each():
+    rng = random.Random(12)
+    for n in (0, 1, 2, 40):
+        pairs = [tuple("".join(rng.choice("ab é") for _ in range(rng.choice([0, 1, 7, 8, 9, 63, 64, 65]))) for _ in range(2)) for _ in range(n)]
+        assert L.edit_distances(pairs) == [brute_distance(a, b) for a, b in pairs]
+
+
+def test_pairs_that_meet_earlier():
+    rng = np.random.default_rng(4)
+    lists = [sorted(set(rng.integers(-40, 40, rng.integers(1, 12)).tolist())) for _ in range(60)]
+    here = np.array([x[len(x) // 2] for x in lists])
+    i, j = np.triu_indices(60, 1)
+    got = L._Earlier(L.pa.array(lists, L.pa.list_(L.pa.int64())), here)(i, j)
+    # rows that meet have one key; where they don't, less than its own counts for each
+    want = [bool({k for k in lists[a] if k < here[a]} & {k for k in lists[b] if k < here[b]}) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_keys_are_dealt_out_in_rows_for_tasks_not_for_keys(spark):
+    """A line's repeats are no partners; lines of one fingerprint are; a key with more lines than meet in a task keeps all."""
+    at = lambda *keys: np.array(keys, dtype="<i8").tobytes()
+    rows = [(b"a", 1, 50, at(5, -7)), (b"a", 1, 50, at(5, -7)), (b"b", 1, 50, at(-7)), (b"c", -1, 50, at(5)), (b"d", 9, 50, at(11)), (b"d", 9, 50, at(11))]
+    placed = spark.createDataFrame(rows, "key binary, fp long, size int, at binary").repartition(3)
+    assert {tuple(r) for r in L.near_lines(placed).collect()} == {(1, -7)}
+    batch = L.pa.RecordBatch.from_pydict({"fp": list(range(5000)), "size": [50] * 5000, "at": [at(*range(k, k + 10)) for k in range(5000)], "k": list(range(5000))})
+    dealt = list(L._deal(4)([batch]))
+    assert sum(b.num_rows for b in dealt) == 4 and sum(len(x.as_py()) for b in dealt for x in b["places"]) == 50_000 * L._PLACE.itemsize
+    hot = np.zeros(L.CHUNK + 1, dtype=L._PLACE)
+    hot["fp"] = hot["k"] = np.arange(L.CHUNK + 1)
+    (kept_all,) = L._partners(L.SIMILARITY)([L.pa.RecordBatch.from_pydict({"places": [hot.tobytes()]})])
+    assert kept_all.num_rows == L.CHUNK + 1
+    assert list(L._partners(L.SIMILARITY)([])) == []
